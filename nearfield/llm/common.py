@@ -14,12 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept, by checkpoint(), in the folder that the cluster names in
-    spark.checkpoint.dir; a temporary folder stands in only where that setting is missing."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one stands in only
+    where that setting is missing."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="nearfield-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept, by checkpoint(), in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import exact_dedup, packing, sharding, simhash
+from nearfield.llm import exact_dedup, language, merkle, mixing, packing, quality, sharding, simhash, toxicity, warc
 from nearfield.llm.common import table
 
 
@@ -16,10 +16,18 @@ def tokenizer_path(name: str = packing.VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -28,11 +36,29 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule of a mix that reads every document at least once and none of a source over twice."""
+    return mixing.schedule(mixing.mix(table(spark, sf_dir, "documents"), mixing.Target(max_repeats=2.0)))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_report(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op4_packing, op5_simhash, op10_sharding)}
+OPERATORS = (op1_toxicity, op2_exact_dedup, op3_quality, op4_packing, op5_simhash, op6_mixing, op7_language, op8_merkle, op9_warc, op10_sharding)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
@@ -42,4 +68,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256
         FROM d JOIN g USING (norm)
     """,
+    "op8_merkle": merkle.EDIT_REPORT_SQL,
+    "op9_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        g AS (SELECT b, min(page_id) AS first FROM p WHERE octet_length(b) >= 100 GROUP BY b)
+        SELECT page_id, octet_length(p.b) AS payload_bytes, sha256(p.b) AS payload_digest,
+            CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p LEFT JOIN g ON p.b = g.b
+    """,
 }
