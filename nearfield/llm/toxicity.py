@@ -19,7 +19,7 @@ from nearfield.llm.common import bounded_sample, cut, fold
 FOLDS = 5
 #: Labelled rows of each class that the lexicon is learned from, at most about.
 PER_CLASS = 4000
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 
 # Words that start with a weight of their own, and phrases in which a term is harmless.
 SEED_TERMS = ("idiot", "idiots", "moron", "morons", "imbecile", "stupid", "scum", "scumbag", "loser", "losers", "pathetic", "worthless", "disgusting", "trash", "clown", "retard", "bastard", "bitch", "asshole", "fuck", "fucking", "shit", "whore", "slut", "cunt", "dickhead", "kys")
@@ -161,7 +161,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return beta
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 42, least_weight: float = 2.0, least_evidence: float = 20.0, most_terms: int = 5000) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 42, least_weight: float = 2.5, least_evidence: float = 30.0, most_terms: int = 5000) -> Lexicon:
     """From labels(doc_id, toxic) whose fold is not held out, and their texts. At most about per_class
     rows of each class are used, and at most most_terms terms are kept, so that what reaches the driver
     is bounded. A term must be more frequent in toxic texts than chance allows and must stand in
@@ -179,22 +179,22 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     odds = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
     part = F.col("t") + F.col("c")
     expected_t, expected_c = part * nt / (nt + nc), part * nc / (nt + nc)
-    # twice the log-likelihood ratio of label and term being related: chance makes few of 100,000 words pass 20
+    # twice the log-likelihood ratio of label and term being related: by chance one word in 20 million passes 30
     evidence = 2 * (F.col("t") * F.log(F.col("t") / expected_t) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / expected_c)).otherwise(0.0))
     rows = _word_counts(texts).where(F.col("t") >= least).withColumn("weight", odds).where((F.col("weight") >= least_weight) & (evidence >= least_evidence))
     rows = rows.orderBy(F.desc("t"), "term").limit(most_terms).collect()
     candidates = {r["term"]: (r["weight"], r["t"]) for r in rows}
     seen = cut(_contexts(texts, set(candidates)))
     varied = seen.where("t > 0").groupBy("term").agg(F.countDistinct("previous").alias("p"), F.countDistinct("phrase").alias("n"))
-    varied = {r["term"] for r in varied.where(f"p >= {least} AND n >= {least}").collect()}
+    varied = {r["term"] for r in varied.collect() if min(r["p"], r["n"]) >= max(least, candidates[r["term"]][1] / 2)}
     harmless = seen.groupBy("phrase").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t = 0 AND c >= 5 AND phrase LIKE '% %'")
     exceptions |= {r["phrase"] for r in harmless.orderBy(F.desc("c"), "phrase").limit(most_terms).collect()}
-    kept: dict[str, float] = {}
-    for term in sorted(varied, key=lambda t: (len(t.rstrip("*")), t)):  # a shorter stem that says as much stands for longer ones
-        weight, count = candidates[term]
-        plain = term.rstrip("*")
-        if not any(plain[:n] + "*" in kept and candidates[plain[:n] + "*"][1] >= count for n in STEMS if n < len(plain)):
-            kept[term] = min(weight, 6.0)
+    count_of = {term: candidates[term][1] for term in varied}
+    # a stem gives way to the word or longer stem that makes up nearly all of it; else it stands for all of those
+    stems = {s for s in varied if s[-1] == "*" and not any(x != s and x.startswith(s[:-1]) and count_of[x] >= 0.9 * count_of[s] for x in varied)}
+    words = {w for w in varied - stems if w[-1] != "*" and not any(w[:n] + "*" in stems for n in STEMS)}
+    stems = {s for s in stems if not any(s[:n] + "*" in stems for n in STEMS if n < len(s) - 1)}
+    kept = {term: min(candidates[term][0], 6.0) for term in stems | words}
     lexicon = Lexicon(weights | kept, exceptions)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
