@@ -98,8 +98,9 @@ def fingerprint_components(prints: DataFrame, limit: int = 4, groups: int = 8) -
     most limit bits apart; only fingerprints that have a link appear.
 
     A grid range-join: every fingerprint enters the cells given by cell_masks, and links can only
-    be within a cell. No cell's pairs are listed. First each member is compared with the
-    cell's smallest one; those stars' components are found. Then, in cells that still hold
+    be within a cell. The two members of a cell of two, the usual chance meeting, are
+    compared on the spot. No larger cell's pairs are listed. First each member is compared with
+    the cell's smallest one; the components so far are found. Then, in cells that still hold
     several components, the members outside the largest one are compared with the members of other
     components. Pairs left out lie in one component already, so the components are exact.
     """
@@ -107,10 +108,11 @@ def fingerprint_components(prints: DataFrame, limit: int = 4, groups: int = 8) -
     embedded = prints.select("fp", embedding(F.col("fp")).alias("e"))
     cells = embedded.select("fp", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "part"))
     cells = cells.select("fp", F.xxhash64("mask", "part").alias("cell"))  # a collision only adds a comparison
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("rep"), F.max("fp").alias("top")).where("rep <> top").select("cell", "rep")
-    members = cut(cells.join(shared, "cell"))
+    shared = cut(cells.groupBy("cell").agg(F.min("fp").alias("rep"), F.max("fp").alias("top"), F.count("*").alias("n")).where("n > 1"))
+    twos = shared.where((F.col("n") == 2) & _close(F.col("rep"), F.col("top"), limit)).select(F.col("top").alias("a"), F.col("rep").alias("b"))
+    members = cut(cells.join(shared.where("n > 2").select("cell", "rep"), "cell"))
     stars = members.where((F.col("fp") != F.col("rep")) & _close(F.col("fp"), F.col("rep"), limit))
-    stars = cut(stars.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct())
+    stars = cut(stars.select(F.col("fp").alias("a"), F.col("rep").alias("b")).unionByName(twos).distinct())
     first = components(stars)
     tagged = cut(members.join(first, members.fp == first.node, "left").select("cell", "fp", F.coalesce("label", "fp").alias("comp")))
     sizes = tagged.groupBy("cell", "comp").agg(F.count("*").alias("n"))
