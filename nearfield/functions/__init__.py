@@ -1,0 +1 @@
+"""Column expressions: distances, codes, layout arithmetic, telemetry buckets."""

@@ -1,0 +1 @@
+"""Search, quantization, graph, layout and telemetry operators over DataFrames."""

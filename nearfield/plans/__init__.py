@@ -1,0 +1 @@
+"""Whole queries over the test tables, with SQL that checks them."""

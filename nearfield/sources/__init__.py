@@ -1,0 +1 @@
+"""Reading and writing vector tables, index folders and foreign binary files."""

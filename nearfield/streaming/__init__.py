@@ -1,0 +1 @@
+"""Stateful streams: health of search cores from their snapshots."""
