@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose id is in ids (doc_id, distinct), and rows without an id."""
-    named = docs.join(ids.select(F.col("doc_id").alias("kept_id")), docs.doc_id == F.col("kept_id"), "left_semi")
+    named = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -161,9 +161,10 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     names = np.array([*filters.languages, UNKNOWN], object)
     rate = filters.false_rate()
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
+            texts = [t or "" for t in batch]
             total, found = np.zeros(len(texts)), np.zeros((len(texts), len(rate)))
             for numbers, parts in blocks(texts):
                 t, f = filters.counts(*ngrams(parts), len(parts))
@@ -176,9 +177,9 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
                 some = letters & (share.sum(1) > 0)
                 best = np.where(letters, share.argmax(1), len(rate))
                 score[some] = share.max(1)[some] / share.sum(1)[some]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": names[best], "score": score})
+            yield pd.DataFrame({"lang_pred": names[best], "score": score})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(predict, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", predict("text").alias("found")).select("doc_id", "found.*")
 
 
 def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -135,6 +135,7 @@ def mixed_documents(docs: DataFrame, target: Target = Target(), seed: int = 42)
     counts, and texts move once."""
     chosen = mix(docs, target, seed=seed).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     # rows that repeat an id share its readings evenly
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("chosen_copies"))
-    read = docs.join(chosen, docs.doc_id.eqNullSafe(chosen.chosen_id)).where("chosen_copies > 0")
-    return read.withColumn("reading", F.explode(F.sequence(F.lit(1), F.col("chosen_copies")))).select(*[docs[c] for c in docs.columns])
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("copies"))
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("document"))
+    read = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id"))).where("copies > 0")
+    return read.select("document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")

@@ -103,34 +103,24 @@ def encoder(path: str) -> WordEncoder:
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, start, length, ids_crc32, doc_tokens [, ids]: each
     document's ids with end_id behind, cut at every multiple of capacity."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     end = np.array([end_id], "<u4").tobytes()
+    names = ["start", "length", "ids_crc32", *["ids"] * with_ids]
 
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("start array<bigint>, length array<bigint>, ids_crc32 array<bigint>" + ", ids array<binary>" * with_ids + ", doc_tokens bigint")
+    def cut_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encode = encoder(path).encode
-        names = schema.replace(" long", "").replace(" binary", "").split(", ")
-        for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for texts in batches:
+            rows = []
+            for text in texts:
                 ids = encode(text or "") + end
-                total = len(ids) // 4
-                for start in range(0, total, capacity):
-                    piece = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total, *[piece] * with_ids))
-                held += len(ids)
-                if held > 1 << 25:
-                    yield _frame(rows, names)
-                    rows, held = [], 0
-            if rows:
-                yield _frame(rows, names)
+                starts = range(0, len(ids), 4 * capacity)
+                parts = [ids[at : at + 4 * capacity] for at in starts]
+                rows.append(([at // 4 for at in starts], [len(p) // 4 for p in parts], [zlib.crc32(p) for p in parts], *[parts] * with_ids, len(ids) // 4))
+            yield pd.DataFrame(rows, columns=[*names, "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut_up, schema)
-
-
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    return out.assign(doc_id=out["doc_id"].astype("Int64"))
+    found = docs.select("doc_id", cut_up("text").alias("found"))
+    found = found.select("doc_id", "found.doc_tokens", F.explode(F.arrays_zip(*[F.col(f"found.{n}") for n in names])).alias("piece"))
+    return found.select("doc_id", "piece.start", "piece.length", "piece.ids_crc32", "doc_tokens", *["piece.ids"] * with_ids)
 
 
 Pattern = tuple[tuple[int, int], ...]
@@ -223,11 +213,10 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     places = Places(shortest_pack_first(histogram, capacity))
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [places.find(n, r) for n, r in zip(batch["length"].tolist(), batch["rank"].tolist(), strict=True)]
-            batch[["sequence_id", "offset"]] = np.array(found, np.int64).reshape(-1, 2)
-            yield batch.drop(columns="rank").assign(doc_id=batch["doc_id"].astype("Int64"))
+    @F.pandas_udf("sequence_id bigint, offset bigint")
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for lengths, ranks in batches:
+            yield pd.DataFrame([places.find(n, r) for n, r in zip(lengths.tolist(), ranks.tolist(), strict=True)], columns=["sequence_id", "offset"])
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return ranked(pieces, groups).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInPandas(put, schema)
+    placed = ranked(pieces, groups).withColumn("at", place("length", "rank"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "at.sequence_id", "at.offset")

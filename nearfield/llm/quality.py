@@ -52,7 +52,7 @@ def features(text: str) -> list[float]:
     for part in windows(text):
         tokens = part.split()
         words.update(tokens)
-        before = [last, *tokens[:-1]]
+        before = [last, *tokens][: len(tokens)]
         pairs.update(map(hash, zip(before, tokens, strict=True)))
         repeats += sum(a == b for a, b in zip(before, tokens, strict=True))
         last = tokens[-1] if tokens else last
@@ -221,12 +221,13 @@ def score_quality(docs: DataFrame, model: AdditiveModel | None) -> DataFrame:
     table gives no rows.
     """
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            value = model.score(_feature_rows(batch["text"])) if model else np.full(len(batch), 0.5)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": value, "predicted": (value >= 0.5).astype(np.int32)})
+    @F.pandas_udf("score double, predicted int")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            value = model.score(_feature_rows(texts)) if model else np.full(len(texts), 0.5)
+            yield pd.DataFrame({"score": value, "predicted": (value >= 0.5).astype(np.int32)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", score("text").alias("found")).select("doc_id", "found.*")
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel | None) -> DataFrame:

@@ -216,22 +216,22 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, spans: bool = False) -> Da
     without any. Ties and repeated rows are scored alike. Other columns are ignored; an
     empty table gives no rows. With spans, terms and starts (offsets in the folded text) follow.
     """
-    schema = "doc_id long, score double, predicted int, hits int" + ", terms array<string>, starts array<long>" * spans
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, predicted int, hits int" + ", terms array<string>, starts array<bigint>" * spans)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
         b0, b1, b2 = lexicon.coefficients
-        for batch in batches:
-            folded = [skeleton(t or "") for t in batch["text"]]
+        for texts in batches:
+            folded = [skeleton(t or "") for t in texts]
             found = np.array([hit_features(t, automaton) for t in folded], float).reshape(-1, 3)
             value = 1 / (1 + np.exp(-np.clip(b0 + found[:, 1] * b1 + found[:, 2] * b2, -30, 30)))
-            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": value, "predicted": (value >= 0.5).astype(np.int32), "hits": found[:, 0].astype(np.int32)})
+            out = pd.DataFrame({"score": value, "predicted": (value >= 0.5).astype(np.int32), "hits": found[:, 0].astype(np.int32)})
             if spans:
                 where = [sorted(matches(t, automaton)) for t in folded]
                 out["terms"], out["starts"] = [[h[2] for h in w] for w in where], [[h[0] for h in w] for w in where]
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, schema)
+    return docs.select("doc_id", score("text").alias("found")).select("doc_id", "found.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
