@@ -198,7 +198,7 @@ def ranked(pieces: DataFrame, groups: int) -> DataFrame:
     return numbered.join(starts, ["length", "salt"]).withColumn("rank", F.col("from") + F.col("k")).drop("salt", "from", "k")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = 256) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, rows_per_group: int = 100_000) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset:
     one row per piece; pieces of a sequence follow one another from offset 0 without gaps.
 
@@ -207,7 +207,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     each for itself. Null ids are kept. Other columns are ignored; an empty table gives no rows.
 
     The driver gets the histogram (capacity numbers at most) and the patterns made from it. Pieces
-    meet their pattern by their rank among those of the same length.
+    meet their pattern by their rank among those of the same length, which is counted in groups of at most
+    about rows_per_group rows, at least 64 of them.
     """
     pieces = cut(token_pieces(docs, path, capacity, end_id))
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
@@ -218,5 +219,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
         for lengths, ranks in batches:
             yield pd.DataFrame([places.find(n, r) for n, r in zip(lengths.tolist(), ranks.tolist(), strict=True)], columns=["sequence_id", "offset"])
 
-    placed = ranked(pieces, groups).withColumn("at", place("length", "rank"))
+    placed = ranked(pieces, max(64, sum(histogram.values()) // rows_per_group)).withColumn("at", place("length", "rank"))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "at.sequence_id", "at.offset")

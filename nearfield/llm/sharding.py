@@ -74,7 +74,7 @@ def split_ranges(keys: DataFrame, parts: int, sample_size: int, rounds: int = 4,
     return splitters, ranges
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 64, sample_size: int = 32_768, seed: int = 42) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, rows_per_range: int = 250_000, most_ranges: int = 1 << 16, sample_per_range: int = 32, seed: int = 42) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, size, text_crc32, law, shard, slot, grown_shard: one
     row per row of docs.
 
@@ -85,8 +85,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 6
     are separate rows. Null ids sort first. grown_shard is null under this law. Other
     columns are ignored; an empty table gives no rows.
 
-    Rows are never sorted all together: each range sorts its own, and the sums before a
-    range come from the measured ranges, at most a few thousand rows.
+    Rows are never sorted all together: each of 64 ranges a shard, and more of them beyond rows_per_range rows
+    each, sorts its own, and the sums before a range come from the measured ranges, about most_ranges rows at
+    most. So is the sample bounded, by sample_per_range keys for each range.
     """
     text = F.coalesce("text", F.lit(""))
     keys = docs.select(
@@ -94,8 +95,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 6
         F.xxhash64(text).alias("k1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k2"),
     ).withColumn("k3", F.col("text_crc32"))
     keys = cut(keys)
-    parts = shards * ranges_per_shard
-    splitters, ranges = split_ranges(keys, parts, sample_size, seed=seed)
+    parts = max(64 * shards, min(most_ranges, keys.count() // rows_per_range))
+    splitters, ranges = split_ranges(keys, parts, sample_per_range * parts, seed=seed)
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over the measured ranges only
     starts = ranges.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
     total = ranges.agg(F.sum("bytes")).first()[0] or 1

@@ -109,7 +109,7 @@ def test_shard_hot_group_and_small_sample(spark):
     """A third of all rows is one text, and the sample is so small that ranges must be subdivided."""
     texts = [(k, "one hot text" if k % 3 == 0 else f"text {k * k} " * (k % 40)) for k in range(3000)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    check_shards(sharding.shard_documents(docs, sample_size=200).collect(), texts)
+    check_shards(sharding.shard_documents(docs, sample_per_range=1).collect(), texts)
     cold = defaultdict(set)
     for r in sharding.shard_documents(docs).collect():
         cold[r.text_crc32].add(r.shard)
