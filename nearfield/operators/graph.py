@@ -284,3 +284,22 @@ def bfs_levels(edges: DataFrame, start: DataFrame, cut: Callable[[DataFrame], Da
             break
         seen = cut(seen.unionByName(front))
     return seen
+
+
+def with_neighbor_codes(graph: DataFrame, codes: DataFrame) -> DataFrame:
+    """graph(vec_id, nbrs), codes(vec_id, code) -> vec_id, nbrs, nbr_codes: each list beside its neighbours' codes, in order, so that
+    gating needs no further reads. A neighbour without a code is an error."""
+    edges = graph.select("vec_id", F.posexplode("nbrs").alias("pos", "dst"))
+    found = edges.join(codes.select(F.col("vec_id").alias("dst"), "code"), "dst", "left")
+    found = found.withColumn("code", F.when(F.col("code").isNotNull(), F.col("code")).otherwise(F.raise_error(F.lit("a neighbour has no code"))))
+    lists = found.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("pos", "dst", "code"))).alias("l"))
+    out = graph.select("vec_id").join(lists, "vec_id", "left")
+    return out.select("vec_id", F.coalesce(F.transform("l", lambda x: x["dst"]), F.array().cast("array<bigint>")).alias("nbrs"), F.transform("l", lambda x: x["code"]).alias("nbr_codes"))
+
+
+def entry_diagnostics(trace: DataFrame, results: DataFrame) -> DataFrame:
+    """trace(qid, step, vid), results(qid, vec_id, rank) -> qid, best_at, first_top_at: the expansion at which the nearest result, and at
+    which any result, was expanded; null if it never was."""
+    hits = trace.join(results.select("qid", F.col("vec_id").alias("vid"), "rank"), ["qid", "vid"])
+    steps = hits.groupBy("qid").agg(F.min(F.when(F.col("rank") == 1, F.col("step"))).alias("best_at"), F.min("step").alias("first_top_at"))
+    return results.select("qid").distinct().join(steps, "qid", "left")

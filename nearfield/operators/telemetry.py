@@ -105,3 +105,25 @@ def simulated_latency(total: str | Column, misses: str | Column, per_miss: float
 def admitted(capacity: int, health: str) -> int:
     """Queries let in at once, by health: all, three quarters, half; at least one."""
     return max(1, capacity * {"healthy": 100, "degraded": 75, "throttled": 50}[health] // 100)
+
+
+def query_ratios(metrics: DataFrame) -> DataFrame:
+    """Per-query counters with the parts that are read from them: wasted expansions, distances per expansion, and, where times and page
+    counts are among the columns, their shares of the total."""
+    out = metrics.withColumn("wasted_share", F.when(F.col("expansions") > 0, F.col("wasted") / F.col("expansions")).otherwise(0.0))
+    out = out.withColumn("distances_per_expansion", F.when(F.col("expansions") > 0, F.col("distance_computes") / F.col("expansions")).otherwise(0.0))
+    for part in ("io_us", "distance_us"):
+        if {part, "total_us"} <= set(metrics.columns):
+            out = out.withColumn(part.replace("_us", "_pct"), F.when(F.col("total_us") > 0, F.col(part) * 100 / F.col("total_us")).otherwise(0.0))
+    if {"hits", "misses"} <= set(metrics.columns):
+        out = out.withColumn("hit_rate", F.when(F.col("hits") + F.col("misses") > 0, F.col("hits") / (F.col("hits") + F.col("misses"))).otherwise(0.0))
+    return out
+
+
+def bench_row(metrics: DataFrame, recalls: DataFrame) -> DataFrame:
+    """One row for a configuration: queries, recall (mean and least) and work per query. A query's shards count together."""
+    counters = ("expansions", "useful", "wasted", "distance_computes")
+    each = metrics.groupBy("qid").agg(*[F.sum(c).alias(c) for c in counters], F.max(F.col("stopped_early").cast("int")).alias("stopped"))
+    both = each.join(recalls.select("qid", "recall"), "qid")
+    means = [F.avg(c).alias(f"mean_{c}") for c in counters]
+    return both.agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.min("recall").alias("least_recall"), *means, F.max("expansions").alias("most_expansions"), F.avg("stopped").alias("stopped_share"))

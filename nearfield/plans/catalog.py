@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import codes as C
 from nearfield.functions import distance as D
+from nearfield.functions import sql
 from nearfield.operators import adaptive, graph, knn, layout, pq, saq, telemetry
 from nearfield.plans.checkpoint import cut
 from nearfield.streaming.health import health_batch
@@ -682,3 +683,41 @@ def qd_knee(spark: SparkSession, sf_dir: str) -> DataFrame:
 def health_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     snaps = _snaps(spark, sf_dir).select("core", "snap", F.col("p99").cast("double").alias("p99"), (F.col("inflight_max") / DEPTH).alias("inflight"))
     return health_batch(snaps, LIMIT_US)
+
+
+# Further measures of searches, and plain SQL.
+
+
+@query()
+def graph_neighbor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return graph.with_neighbor_codes(_nsw(v), pq.encode(v, _book(v)))
+
+
+@query()
+def trace_entry_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    g = _nsw(v)
+    return graph.entry_diagnostics(graph.search_graph(g, queries_of(v), K, output="trace"), graph.search_graph(g, queries_of(v), K))
+
+
+@query()
+def search_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.query_ratios(_searched(spark, sf_dir, graph.Search(ef=64), "metrics"))
+
+
+@query()
+def bench_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    g = _nsw(v)
+    recalls = knn.recall(graph.search_graph(g, queries_of(v), K), _truth(v))
+    return telemetry.bench_row(graph.search_graph(g, queries_of(v), K, output="metrics"), recalls)
+
+
+@query(f"SELECT label, count(*) AS n, round(avg({_cosine('f', 'embedding')}), 9) AS mean, min({_l2('f', 'embedding')}) AS least FROM embeddings, (SELECT embedding AS f FROM embeddings WHERE vec_id = 0) GROUP BY label")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances by label, with the functions that plain SQL gets."""
+    sql.register(spark)
+    first = vectors(spark, sf_dir).where("vec_id = 0").first()["embedding"]
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("f", D.as_column(first))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.expr("vec_cosine(f, CAST(embedding AS array<double>))")), 9).alias("mean"), F.min(F.expr("vec_l2(f, CAST(embedding AS array<double>))")).alias("least"))

@@ -199,3 +199,11 @@ def test_snapshots_and_stats(spark):
     got = telemetry.engine_stats(last).first()
     assert (got.total_queries, got.max_p99, got.max_inflight, got.sem_wait_pct, got.device_ns_per_io) == (10, 512, 9, 25, 15)
     assert got.avg_io_wait_pct == pytest.approx(5 * 10 * 100 / (600 + 700 + 800 + 900 + 1000))
+
+
+def test_ratios_and_bench_row(spark):
+    metrics = spark.createDataFrame([(1, 0, 10, 6, 4, 100, False), (1, 1, 10, 5, 5, 50, True), (2, 0, 0, 0, 0, 1, False)], "qid long, shard int, expansions long, useful long, wasted long, distance_computes long, stopped_early boolean")
+    ratios = {(r.qid, r.shard): (r.wasted_share, r.distances_per_expansion) for r in telemetry.query_ratios(metrics).collect()}
+    assert ratios == {(1, 0): (0.4, 10), (1, 1): (0.5, 5), (2, 0): (0, 0)}
+    row = telemetry.bench_row(metrics, spark.createDataFrame([(1, 0.9), (2, 0.7)], "qid long, recall double")).first()
+    assert (row.queries, row.least_recall, row.mean_expansions, row.stopped_share) == (2, 0.7, 10, 0.5) and row.recall == pytest.approx(0.8)

@@ -189,3 +189,23 @@ def test_prune_keeps_the_diverse(spark):
     edges = graph.knn_graph(table(spark, v), 3, "l2")
     kept = graph.prune(edges, table(spark, v), 2, "l2").where("src = 0").orderBy("pos").collect()
     assert [r.dst for r in kept] == [1, 3]
+
+
+def test_neighbor_codes_and_entry_diagnostics(spark):
+    g = spark.createDataFrame([(0, [2, 1]), (1, []), (2, [0])], "vec_id long, nbrs array<long>")
+    codes = spark.createDataFrame([(k, [k, k]) for k in range(3)], "vec_id long, code array<smallint>")
+    got = {r.vec_id: (r.nbrs, r.nbr_codes) for r in graph.with_neighbor_codes(g, codes).collect()}
+    assert got == {0: ([2, 1], [[2, 2], [1, 1]]), 1: ([], None), 2: ([0], [[0, 0]])}
+    with pytest.raises(Exception, match="no code"):
+        graph.with_neighbor_codes(g, codes.where("vec_id < 2")).collect()
+    trace = spark.createDataFrame([(1, 0, 9), (1, 1, 5), (1, 2, 4), (2, 0, 7)], "qid long, step int, vid long")
+    results = spark.createDataFrame([(1, 4, 1), (1, 5, 2), (2, 8, 1)], "qid long, vec_id long, rank int")
+    assert {r.qid: (r.best_at, r.first_top_at) for r in graph.entry_diagnostics(trace, results).collect()} == {1: (2, 1), 2: (None, None)}
+
+
+def test_sql_functions(spark):
+    from nearfield.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("SELECT vec_l2(array(0D, 0D), array(3D, 4D)) a, vec_ip(array(1D, 2D, 3D), array(4D, 5D, 6D)) b, vec_cosine(array(0D), array(1D)) c, vec_norm(array(3D, 4D)) d, vec_normalize(array(3D, 4D)) e, vec_int8(array(0.5D, -2D)) f").first()
+    assert (row.a, row.b, row.c, row.d, row.e, row.f) == (25, -32, 1, 5, [0.6, 0.8], [64, -127])
