@@ -105,9 +105,14 @@ def beam_search(neighbors: Callable[[int], np.ndarray], distances: Callable[[np.
             seen[near] = True
             scored = distances(near)
             found.computed += len(near)
-            order = np.lexsort((near, scored))[: search.max_neighbors] if search.max_neighbors else range(len(near))
-            for k in order:
-                added |= offer(float(scored[k]), int(near[k]), v, False)
+            if search.max_neighbors:
+                order = np.lexsort((near, scored))[: search.max_neighbors]
+                near, scored = near[order], scored[order]
+            if len(held) >= search.ef:
+                closer = scored < -held[0][0]
+                near, scored = near[closer], scored[closer]
+            for d, u in zip(scored.tolist(), near.tolist(), strict=True):
+                added |= offer(d, u, v, False)
         found.useful += added
         if search.stall and len(held) >= search.ef:
             worst = -held[0][0]
@@ -129,34 +134,57 @@ def beam_search(neighbors: Callable[[int], np.ndarray], distances: Callable[[np.
     return found
 
 
-def diverse(near: list[tuple[float, int]], m: int, between: Callable[[int, list[int]], np.ndarray]) -> list[tuple[float, int]]:
-    """Of candidates by distance, those that no chosen one is nearer to than their centre is; m at most."""
-    kept: list[tuple[float, int]] = []
-    for d, v in near:
-        if len(kept) == m:
-            break
-        if not kept or not (between(v, [u for _, u in kept]) < d).any():
-            kept.append((d, v))
+def kernel(metric: str, data: np.ndarray) -> Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]]:
+    """query -> (rows -> their distances to it), with norms computed once."""
+    if metric == "ip":
+        return lambda q: lambda rows: -(data[rows] @ q)
+    sq = (data * data).sum(1)
+    if metric == "l2":
+        return lambda q: lambda rows, qq=q @ q: np.maximum(sq[rows] + qq - 2 * (data[rows] @ q), 0)
+    unit = data / np.sqrt(np.where(sq > 0, sq, 1))[:, None]
+
+    def cosine(q: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        size = math.sqrt(q @ q)
+        q = q / size if size else q
+        return lambda rows: 1 - unit[rows] @ q
+
+    return cosine
+
+
+def diverse(distances: np.ndarray, between: np.ndarray, m: int) -> list[int]:
+    """Of candidates in order of their distance, those that no chosen one is nearer to than their centre is; m at most.
+    between holds the candidates' distances among themselves."""
+    kept: list[int] = []
+    hidden = np.zeros(len(distances), bool)
+    for k in range(len(distances)):
+        if not hidden[k]:
+            kept.append(k)
+            if len(kept) == m:
+                break
+            hidden |= between[k] < distances
     return kept
 
 
 def build_shard(data: np.ndarray, metric: str, m_max: int, ef_construction: int) -> list[np.ndarray]:
     """Neighbour lists of a navigable small world, rows inserted in order: each is searched for from the first row,
     tied to a diverse choice of what is found, and tied back; overfull lists are chosen anew."""
-    links: list[list[int]] = [[] for _ in data]
-    score = lambda v, others: D.block_distance(metric, data[v : v + 1], data[others])[0]
-    between = lambda v, others: score(v, others)
+    links: list[np.ndarray] = [np.zeros(0, np.int64) for _ in data]
+    score, search = kernel(metric, data), Search(ef=ef_construction)
+
+    def choose(v: int, ids: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return ids[diverse(d, D.block_distance(metric, data[ids], data[ids]), m_max)]
+
     for v in range(1, len(data)):
-        found = beam_search(lambda u: np.array(links[u], np.int64), lambda ids, v=v: score(v, ids), [0], Search(ef=ef_construction), v)
-        for _, u in diverse(found.results, m_max, between):
-            links[v].append(u)
-            links[u].append(v)
-            if len(links[u]) > m_max:
-                ids = np.array(links[u])
-                d = score(u, ids)
+        found = beam_search(links.__getitem__, score(data[v]), [0], search, v).results
+        links[v] = choose(v, np.array([u for _, u in found], np.int64), np.array([d for d, _ in found]))
+        for u in links[v].tolist():
+            ids = np.append(links[u], v)
+            if len(ids) > m_max:
+                d = score(data[u])(ids)
                 order = np.lexsort((ids, d))
-                links[u] = [x for _, x in diverse(list(zip(d[order].tolist(), ids[order].tolist(), strict=True)), m_max, between)]
-    return [np.array(x, np.int64) for x in links]
+                ids = choose(u, ids[order], d[order])
+            links[u] = ids
+    return links
 
 
 def with_shard(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -214,11 +242,11 @@ def search_graph(graph: DataFrame, queries: DataFrame, k: int, search: Search =
             ids, data = group["vec_id"].to_numpy(np.int64), np.stack(group["embedding"]).astype(np.float64)
             links = [np.searchsorted(ids, np.asarray(x, np.int64)) for x in group["nbrs"]]
             degrees = np.array([len(x) for x in links])
-            start, codes, rows = hubs(degrees, entries), np.clip(np.round(data * 127), -127, 127), []
+            start, codes, rows, score = hubs(degrees, entries), np.clip(np.round(data * 127), -127, 127), [], kernel(metric, data)
             for qid, q in zip(qids.tolist(), qs, strict=True):
                 own = np.clip(np.round(q * 127), -127, 127)
                 f = beam_search(
-                    links.__getitem__, lambda at, q=q: D.block_distance(metric, q[None], data[at])[0], start, search, len(ids),
+                    links.__getitem__, score(q), start, search, len(ids),
                     (lambda at, own=own: -(codes[at] @ own)) if proxy else None, (lambda v: degrees[v] >= resident_degree) if resident_degree else None,
                 )
                 if output == "result":
@@ -251,8 +279,7 @@ def prune(edges: DataFrame, vectors: DataFrame, m: int = 8, metric: str = "cosin
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["distance", "dst"]).reset_index(drop=True)
         data = np.stack(group["embedding"]).astype(np.float64)
-        kept = diverse(list(zip(group["distance"].tolist(), range(len(group)), strict=True)), m, lambda v, others: D.block_distance(metric, data[v : v + 1], data[others])[0])
-        at = [v for _, v in kept]
+        at = diverse(group["distance"].to_numpy(), D.block_distance(metric, data, data), m)
         return group.loc[at, ["src", "dst", "distance"]].assign(pos=range(1, len(at) + 1))
 
     return rich.groupBy("src").applyInPandas(choose, "src long, dst long, distance double, pos int")
