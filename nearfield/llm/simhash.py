@@ -15,6 +15,8 @@ from nearfield.llm.common import cut
 from nearfield.llm.components import components
 
 SEED = 42
+#: Rows of cells that a task makes, at most about.
+CELLS_PER_TASK = 2_000_000
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -105,6 +107,9 @@ def fingerprint_components(prints: DataFrame, limit: int = 4, groups: int = 8) -
     components. Pairs left out lie in one component already, so the components are exact.
     """
     masks = cell_masks(limit, groups)
+    spark = prints.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), prints.count() * len(masks) // CELLS_PER_TASK)
+    prints = prints.repartition(parts, "fp")  # a few bytes a row now, a row for each mask next
     embedded = prints.select("fp", embedding(F.col("fp")).alias("e"))
     cells = embedded.select("fp", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "part"))
     cells = cells.select("fp", F.xxhash64("mask", "part").alias("cell"))  # a collision only adds a comparison
