@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance as D
-from nearfield.operators.knn import query_blocks
+from nearfield.operators.knn import over_blocks
 
 BINS, STEP = 5, 0.001
 
@@ -41,11 +41,11 @@ def difficulty(vectors: DataFrame, queries: DataFrame, params: DataFrame) -> Dat
     100 e^(1 - i); score is the weighted count by the number of seeds. Vectors pass once, in blocks, and send counts."""
     ends = params.select("qid", F.array(*thresholds(F.col("mu"), F.col("sigma"))).alias("ends"))
     bound = {r["qid"]: r["ends"] for r in ends.collect()}  # five numbers for each of the queries, which a pass takes along anyway
-    found = None
-    for qids, qs in query_blocks(queries, len(queries.select("qvec").first()[0])):
+
+    def near(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
         limits = np.array([bound[q] for q in qids.tolist()])
 
-        def count(batches: Iterator[pd.DataFrame], qids: np.ndarray = qids, qs: np.ndarray = qs, limits: np.ndarray = limits) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, n = np.zeros((len(qids), BINS), np.int64), 0
             for batch in batches:
                 d = D.block_distance("cosine", qs, np.stack(batch["embedding"]).astype(np.float64))
@@ -54,8 +54,9 @@ def difficulty(vectors: DataFrame, queries: DataFrame, params: DataFrame) -> Dat
                 n += len(batch)
             yield pd.DataFrame({"qid": qids, "counts": list(total), "n": n})
 
-        part = vectors.select("embedding").mapInPandas(count, "qid long, counts array<long>, n long")
-        found = part if found is None else found.unionByName(part)
+        return vectors.select("embedding").mapInPandas(count, "qid long, counts array<long>, n long")
+
+    found = over_blocks(queries, near, "qid long, counts array<long>, n long")
     sums = found.groupBy("qid").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(BINS)], F.sum("n").alias("n"))
     score = sum((F.col(f"c{i}") * (100 * math.exp(-i)) for i in range(BINS)), F.lit(0.0)) / F.col("n")
     return sums.select("qid", score.alias("score"))

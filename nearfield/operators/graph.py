@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance as D
-from nearfield.operators.knn import knn, query_blocks, top
+from nearfield.operators.knn import knn, over_blocks, top
 
 #: Vectors of a shard: one task builds or searches it, in memory of about that many rows.
 SHARD_ROWS = 50_000
@@ -214,10 +214,6 @@ def hubs(degrees: np.ndarray, count: int = 64) -> list[int]:
     return np.lexsort((np.arange(len(degrees)), -degrees))[: min(count, len(degrees))].tolist()
 
 
-def _bound(f: Callable[..., pd.DataFrame], *first: object) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda group: f(*first, group)
-
-
 RESULT = "qid long, vec_id long, distance double"
 METRICS = "qid long, shard int, expansions long, useful long, wasted long, distance_computes long, redirected long, stopped_early boolean"
 TRACE = "qid long, shard int, step int, vid long, parent long"
@@ -232,12 +228,10 @@ def search_graph(graph: DataFrame, queries: DataFrame, k: int, search: Search =
     resident_degree: nodes with so many links count as resident for Search.prefer.
     """
     metric = D.metric_name(metric)
-    width = len(queries.select("qvec").first()[0])
     schema = {"result": RESULT, "metrics": METRICS, "trace": TRACE}[output]
-    found = None
-    for qids, qs in query_blocks(queries, width):
 
-        def run(qids: np.ndarray, qs: np.ndarray, group: pd.DataFrame) -> pd.DataFrame:
+    def scan(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
+        def run(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("vec_id").reset_index(drop=True)
             ids, data = group["vec_id"].to_numpy(np.int64), np.stack(group["embedding"]).astype(np.float64)
             links = [np.searchsorted(ids, np.asarray(x, np.int64)) for x in group["nbrs"]]
@@ -259,8 +253,9 @@ def search_graph(graph: DataFrame, queries: DataFrame, k: int, search: Search =
                     rows += [(qid, int(group["shard"][0]), k_, int(ids[v]), int(ids[p]) if p >= 0 else -1) for k_, (v, p) in enumerate(f.expanded)]
             return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-        part = graph.groupBy("shard").applyInPandas(_bound(run, qids, qs), schema)
-        found = part if found is None else found.unionByName(part)
+        return graph.groupBy("shard").applyInPandas(run, schema)
+
+    found = over_blocks(queries, scan, schema)
     return top(found, k) if output == "result" else found
 
 

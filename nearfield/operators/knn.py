@@ -13,6 +13,7 @@ from nearfield.functions import distance as D
 
 #: Bytes of queries that one pass over the vectors takes along; more queries take more passes.
 QUERY_BYTES = 64 << 20
+FEW = 512
 
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -22,13 +23,21 @@ def queries_from(vectors: DataFrame, every: int = 100) -> DataFrame:
     return vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
-def query_blocks(queries: DataFrame, width: int, limit: int = QUERY_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """queries(qid, qvec) as arrays, in as many parts as the limit asks for."""
-    n = queries.count()
-    parts = max(1, -(-n * width * 8 // limit))
+def query_blocks(queries: DataFrame, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """queries(qid, qvec) as arrays in order of qid, in as many parts as the limit (QUERY_BYTES) asks for; none for no
+    queries. A few queries come in one job."""
+    asked = queries.select("qid", "qvec")
+    few = asked.limit(FEW + 1).toPandas()
+    if not len(few):
+        return
+    parts = 1
+    if len(few) > FEW:
+        parts = -(-asked.count() * len(few["qvec"][0]) * 8 // (limit or QUERY_BYTES))
     for part in range(parts):
-        some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
-        rows = some.select("qid", "qvec").orderBy("qid").toPandas()
+        rows = few
+        if len(few) > FEW:
+            rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).toPandas()
+        rows = rows.sort_values("qid")
         if len(rows):
             yield rows["qid"].to_numpy(np.int64), np.stack(rows["qvec"].map(lambda v: np.asarray(v, np.float64)))
 
@@ -86,16 +95,21 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2",
     partition are. Rows with null or NaN components are an error, as is a wrong length.
     """
     metric = D.metric_name(metric)
-    head = queries.select("qvec").first()
-    if head is None:
-        return queries.sparkSession.createDataFrame([], "qid long, vec_id long, distance double, rank int")
-    dim = len(head[0])
-    codes = checked(vectors, dim).select("vec_id", F.col("embedding").alias("code"))
-    parts = [scan_topk(codes, qids, qs, k, lambda a, b: D.block_distance(metric, a, b.astype(np.float64)), lambda a, b: D.exact_distance(metric, a, b), no_self) for qids, qs in query_blocks(queries, dim)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top(found, k)
+
+    def scan(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
+        codes = checked(vectors, qs.shape[1]).select("vec_id", F.col("embedding").alias("code"))
+        return scan_topk(codes, qids, qs, k, lambda a, b: D.block_distance(metric, a, b.astype(np.float64)), lambda a, b: D.exact_distance(metric, a, b), no_self)
+
+    return top(over_blocks(queries, scan), k)
+
+
+def over_blocks(queries: DataFrame, scan: Callable[[np.ndarray, np.ndarray], DataFrame], schema: str = "qid long, vec_id long, distance double") -> DataFrame:
+    """The union of scan(qids, vectors) over the blocks of queries."""
+    found = None
+    for qids, qs in query_blocks(queries):
+        part = scan(qids, qs)
+        found = part if found is None else found.unionByName(part)
+    return queries.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def checked(vectors: DataFrame, dim: int) -> DataFrame:
@@ -106,14 +120,9 @@ def checked(vectors: DataFrame, dim: int) -> DataFrame:
 
 def int8_knn(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """codes(vec_id, code tinyint array), queries(qid, qvec tinyint array): by the negated inner product of codes."""
-    width = len(queries.select("qvec").first()[0])
     rough = lambda a, b: -(a.astype(np.float64) @ b.astype(np.float64).T)  # noqa: E731  whole numbers below 2^53
     exact = lambda a, b: -(a.astype(np.int64) * b.astype(np.int64)).sum(1).astype(np.float64)
-    found = None
-    for qids, qs in query_blocks(queries, width):
-        part = scan_topk(codes, qids, qs, k, rough, exact)
-        found = part if found is None else found.unionByName(part)
-    return top(found, k)
+    return top(over_blocks(queries, lambda qids, qs: scan_topk(codes, qids, qs, k, rough, exact)), k)
 
 
 def refine(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, score: Callable[[Column, Column], Column], column: str = "embedding") -> DataFrame:
@@ -126,10 +135,9 @@ def refine(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int
 def within(vectors: DataFrame, queries: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
     """All (qid, vec_id, distance) at most radius apart, by blocks; only those pairs come out."""
     metric = D.metric_name(metric)
-    found = None
-    for qids, qs in query_blocks(queries, len(queries.select("qvec").first()[0])):
 
-        def scan(batches: Iterator[pd.DataFrame], qids: np.ndarray = qids, qs: np.ndarray = qs) -> Iterator[pd.DataFrame]:
+    def near(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 block = np.stack(batch["embedding"]).astype(np.float64)
                 a, b = np.nonzero(D.block_distance(metric, qs, block) <= radius + 1e-9)
@@ -137,9 +145,9 @@ def within(vectors: DataFrame, queries: DataFrame, radius: float, metric: str =
                 keep = exact <= radius
                 yield pd.DataFrame({"qid": qids[a][keep], "vec_id": batch["vec_id"].to_numpy()[b][keep], "distance": exact[keep]})
 
-        part = vectors.select("vec_id", "embedding").mapInPandas(scan, "qid long, vec_id long, distance double")
-        found = part if found is None else found.unionByName(part)
-    return found
+        return vectors.select("vec_id", "embedding").mapInPandas(scan, "qid long, vec_id long, distance double")
+
+    return over_blocks(queries, near)
 
 
 def recall(result: DataFrame, truth: DataFrame) -> DataFrame:

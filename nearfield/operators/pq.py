@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance as D
-from nearfield.operators.knn import query_blocks, scan_topk, top
+from nearfield.operators.knn import over_blocks, scan_topk, top
 
 CENTROIDS = 256
 TRAIN_ROWS = 65_536
@@ -121,22 +121,20 @@ def adc_knn(codes: DataFrame, queries: DataFrame, book: np.ndarray, k: int, metr
     of inner products, negated or taken from 1."""
     metric = D.metric_name(metric)
     m, size, _ = book.shape
-    found = None
-    for qids, qs in query_blocks(queries, book.shape[0] * book.shape[2]):
-        luts = tables(qs, book, metric).reshape(len(qs), -1)
 
-        def score(total: np.ndarray) -> np.ndarray:
-            return total if metric == "l2" else -total if metric == "ip" else 1 - total
+    def score(total: np.ndarray) -> np.ndarray:
+        return total if metric == "l2" else -total if metric == "ip" else 1 - total
 
-        def rough(lut: np.ndarray, code: np.ndarray) -> np.ndarray:
-            total = np.zeros((len(lut), len(code)))
-            for i in range(m):
-                total += lut[:, i * size + code[:, i].astype(np.int64)]
-            return score(total)
+    def rough(lut: np.ndarray, code: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(lut), len(code)))
+        for i in range(m):
+            total += lut[:, i * size + code[:, i].astype(np.int64)]
+        return score(total)
 
-        def exact(lut: np.ndarray, code: np.ndarray) -> np.ndarray:
-            return score(D.exact_sum(lut[np.arange(len(lut))[:, None], np.arange(m) * size + code.astype(np.int64)]))
+    def exact(lut: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return score(D.exact_sum(lut[np.arange(len(lut))[:, None], np.arange(m) * size + code.astype(np.int64)]))
 
-        part = scan_topk(codes, qids, luts, k, rough, exact)
-        found = part if found is None else found.unionByName(part)
-    return top(found, k)
+    def scan(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
+        return scan_topk(codes, qids, tables(qs, book, metric).reshape(len(qs), -1), k, rough, exact)
+
+    return top(over_blocks(queries, scan), k)

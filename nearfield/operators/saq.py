@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from nearfield.operators.knn import query_blocks, top
+from nearfield.operators.knn import over_blocks, top
 
 
 @dataclass(frozen=True)
@@ -129,20 +129,18 @@ def estimate_block(queries: np.ndarray, codes: list[np.ndarray], rescale: np.nda
 
 def saq_knn(coded: DataFrame, queries: DataFrame, segments: Segments, k: int, packed: bool = False) -> DataFrame:
     """The k nearest by estimated squared distance: coded as encode() gives it, queries(qid, qvec)."""
-    dim = sum(size for _, size, _, _ in segments.parts)
-    found = None
-    for qids, qs in query_blocks(queries, dim):
 
-        def scan(batches: Iterator[pd.DataFrame], qids: np.ndarray = qids, qs: np.ndarray = qs) -> Iterator[pd.DataFrame]:
+    def near(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 d = estimate_block(qs, decode_block(batch["codes"], segments, packed), np.stack(batch["rescale"]), np.stack(batch["length"]), segments)
                 ids = batch["vec_id"].to_numpy()
                 order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
                 yield pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "vec_id": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
 
-        part = coded.mapInPandas(scan, "qid long, vec_id long, distance double")
-        found = part if found is None else found.unionByName(part)
-    return top(found, k)
+        return coded.mapInPandas(scan, "qid long, vec_id long, distance double")
+
+    return top(over_blocks(queries, near), k)
 
 
 def memory_bytes(n: int, segments: Segments, packed: bool = False) -> int:

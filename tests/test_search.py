@@ -27,7 +27,7 @@ def brute(v, q, k, metric):
 def test_knn_by_brute_force(spark, metric, monkeypatch):
     v, q = data(300, 16), data(7, 16, 2)
     monkeypatch.setattr(knn, "QUERY_BYTES", 16 * 8 * 3)
-    monkeypatch.setattr(knn.query_blocks, "__defaults__", (16 * 8 * 3,))  # several passes
+    monkeypatch.setattr(knn, "FEW", 2)  # several passes
     got = knn.knn(table(spark, v).repartition(3), queries(spark, q), 12, metric).orderBy("qid", "rank").collect()
     assert [(r.qid, r.vec_id, r.distance) for r in got] == [(k, *x) for k in range(7) for x in brute(v, q[k], 12, metric)]
 
