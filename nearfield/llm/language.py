@@ -122,10 +122,10 @@ class Filters:
 def learn_filters(docs: DataFrame, per_language: int = PER_LANGUAGE, profile: int = PROFILE, slots: int = SLOTS, most_languages: int = 1024, seed: int = 42) -> Filters:
     """Profiles from texts with a lang that are not held out: about per_language texts of each
     language at most (a documented bound), and of those the n-grams that stand in most texts."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     if known.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    texts = bounded_sample(known, "lang", per_language, seed).select("lang", "text")
+    texts = bounded_sample(known, "lang", per_language, seed).where(F.col("text").isNotNull()).select("lang", "text")  # counting needs no texts
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
