@@ -107,3 +107,49 @@ def test_index_folder(spark, tmp_path):
         index_files.IndexMeta(8, "hamming", 1, 1, 1)
     with pytest.raises(Exception, match="exists"):
         index_files.save_index(folder, meta, graph=g)
+
+
+def test_foreign_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from nearfield.operators import layout, saq
+    from nearfield.sources import foreign
+
+    lists = [[1, 2], [0, 2, 3], [0], [], [3]]
+    codes = [[bytes([v, v + 1]) for v in x] for x in lists]
+    plain = spark.createDataFrame([(0, k, x) for k, x in enumerate(lists)], "shard int, vec_id long, nbrs array<long>")
+    coded = spark.createDataFrame([(k, x, c) for k, (x, c) in enumerate(zip(lists, codes, strict=True))], "vec_id long, nbrs array<long>, nbr_codes array<binary>")
+    for name, g in (("plain", plain), ("coded", coded)):
+        (tmp_path / name).write_bytes(b"".join(bytes(r.block) for r in foreign.adjacency_blocks(g).orderBy("vec_id").collect()))
+        back = foreign.read_adjacency(spark, str(tmp_path / name)).orderBy("vec_id").collect()
+        assert [r.nbrs for r in back] == lists
+    assert [bytes(x) for x in back[1].nbr_codes] == codes[1]
+    assert foreign.read_adjacency(spark, str(tmp_path / "coded"), 2).orderBy("vec_id").collect()[1].nbrs == [0]
+    (tmp_path / "short").write_bytes(b"x" * 5000)
+    with pytest.raises(Exception, match="not whole"):
+        foreign.read_adjacency(spark, str(tmp_path / "short")).collect()
+    order = layout.reorder(plain, "bfs").join(plain.select("vec_id", F.size("nbrs").cast("long").alias("degree")), "vec_id")
+    pages = layout.pack_pages(order, page=24)
+    raw = {r.page_id: bytes(r.page) for r in foreign.page_bytes(pages, plain).collect()}
+    for r in pages.collect():
+        assert formats.read_page_record(raw[r.page_id], r.offset) == lists[r.vec_id]
+    entries = {r.vec_id: (r.page_id, r.offset, r.degree) for r in pages.collect()}
+    (tmp_path / "index").write_bytes(b"".join(formats.index_entry(*entries[k]) for k in range(5)))
+    assert {r.vec_id: (r.page_id, r.offset, r.degree) for r in foreign.read_page_index(spark, str(tmp_path / "index")).collect()} == entries
+    book = np.random.default_rng(1).random((2, 4, 3)).astype(np.float32)
+    (tmp_path / "book").write_bytes(formats.codebook_file(book))
+    assert np.allclose([r.centroid for r in foreign.read_codebook(spark, str(tmp_path / "book")).orderBy("m", "c").collect()], book.reshape(8, 3))
+    v, q = data(40, 8), data(3, 8, 2)
+    for packed in (False, True):
+        segments = saq.Segments.even(8, 1, 4)
+        ((c, rescale, length),) = saq.encode_block(v.astype(float), segments)
+        factors = np.stack([rescale, np.zeros(40), length], 1).astype(np.float32)
+        raw = formats.packed_saq_file(saq.pack(c), 8, factors) if packed else formats.saq_file([(8, 4)], [None], [c], factors[:, None])
+        (tmp_path / f"saq{packed}").write_bytes(raw)
+        got = saq.saq_knn(foreign.read_saq(spark, str(tmp_path / f"saq{packed}"), packed), queries(spark, q), segments, 5, packed)
+        want = saq.saq_knn(saq.encode(table(spark, v), segments, packed), queries(spark, q), segments, 5, packed)
+        assert [(r.qid, r.vec_id) for r in got.orderBy("qid", "rank").collect()] == [(r.qid, r.vec_id) for r in want.orderBy("qid", "rank").collect()]
+    (tmp_path / "d").write_bytes(formats.matrix_file(np.arange(6, dtype=np.float32).reshape(2, 3)))
+    assert [r.distance for r in foreign.read_distances(spark, str(tmp_path / "d")).orderBy("qid", "vec_id").collect()] == [0, 1, 2, 3, 4, 5]
+    digest = files.write_vectors(table(spark, v), str(tmp_path / "v.bin"), "<f4", True)
+    assert foreign.payload_digest(spark, str(tmp_path / "v.bin")) == digest
