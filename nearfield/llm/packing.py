@@ -23,7 +23,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CAPACITY = 2048
 #: Entries that a worker keeps of each kind; beyond it the memory starts anew.
-KNOWN = 1_000_000
+KNOWN = 500_000
 #: The tokenizer's own rule for words, and the same for lower-case ASCII.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORDS_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
