@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import json
+import math
 import re
 import struct
 import unicodedata
@@ -130,12 +131,29 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
     """Length -> count, to (how often, pattern) with a pattern as ((length, how many), ...).
 
     Lengths are placed longest first, each into the packs that are shortest so far, as long as it
-    fits there, else into new ones. All packs of one content are one entry with a count, so the work
-    depends on the number of different lengths, never on the number of pieces.
+    fits there, else into new ones. How many new ones depends on the tokens that are trusted to fill them:
+    all shorter pieces, those less the room in packs so far, none, or any number (a pack for each
+    piece). The plan with the fewest packs is taken. All packs of one content are one entry with a
+    count, so the work depends on the number of different lengths, never on the number of pieces.
     """
+    tokens = sum(length * n for length, n in histogram.items())
+    best: list[tuple[int, Pattern]] | None = None
+    for trust in (lambda shorter, room: math.inf, lambda shorter, room: shorter, lambda shorter, room: max(0, shorter - room), lambda shorter, room: 0):
+        packs = _pack_trusting(histogram, capacity, trust)
+        if best is None or sum(n for n, _ in packs) < sum(n for n, _ in best):
+            best = packs
+        if sum(n for n, _ in best) <= -(-tokens // capacity):
+            break
+    return best
+
+
+def _pack_trusting(histogram: dict[int, int], capacity: int, trust: Callable[[int, int], float]) -> list[tuple[int, Pattern]]:
+    """shortest_pack_first with new packs for what trust(tokens of shorter pieces, room in packs so
+    far) can fill, each holding as many pieces as must share one, or one more."""
     heap: list[tuple[int, int]] = []  # (tokens so far, entry)
     entries: dict[int, tuple[int, dict[int, int]]] = {}
     made = 0
+    shorter, room = sum(length * n for length, n in histogram.items()), 0
 
     def add(count: int, content: dict[int, int]) -> None:
         nonlocal made
@@ -145,6 +163,7 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
+        shorter -= length * left
         while left:
             if heap and heap[0][0] + length <= capacity:
                 _, at = heapq.heappop(heap)
@@ -154,9 +173,15 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
                     add(count - used, content)
                 add(used, content | {length: content.get(length, 0) + 1})
                 left -= used
+                room -= length * used
             else:
-                each = max(1, capacity // length) if length * 2 > capacity else 1
-                add(left, {length: each})
+                filled = (left * length + trust(shorter, room)) / capacity
+                packs = max(-(-left // (capacity // length)), left if filled >= left else int(filled))
+                each, more = divmod(left, packs)
+                for count, many in ((more, each + 1), (packs - more, each)):
+                    if count:
+                        add(count, {length: many})
+                room += packs * capacity - left * length
                 left = 0
     return [(count, tuple(sorted(content.items(), reverse=True))) for count, content in entries.values()]
 

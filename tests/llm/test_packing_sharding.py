@@ -45,6 +45,22 @@ def test_packs_hold_everything(histogram):
     assert all(x == set(range(len(x))) for x in seen.values())
 
 
+@pytest.mark.parametrize("length", [10, 40, 300, 700])
+def test_a_third_of_one_length_pads_little(length):
+    rng = random.Random(7)
+    histogram = defaultdict(int)
+    for _ in range(20000):
+        histogram[min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1)] += 1
+    histogram[length] += 10000
+    packs = packing.shortest_pack_first(histogram)
+    assert sum(count for count, _ in packs) * 2048 * 0.97 < sum(k * n for k, n in histogram.items())
+
+
+def test_one_length_alone_fills_its_packs():
+    assert sum(count for count, _ in packing.shortest_pack_first({300: 100_000})) == 16_667  # six to a pack
+    assert packing.shortest_pack_first({300: 13}, 2048) == [(1, ((300, 5),)), (2, ((300, 4),))]
+
+
 def packed_rows(spark, docs):
     return packing.pack_documents(docs, tokenizer_path()).collect()
 
