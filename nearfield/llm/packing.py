@@ -50,14 +50,14 @@ class _Kept(dict):
 class WordEncoder:
     """Ids of whole texts by the tokenizer's own model: a text falls into words by its rules,
     each is encoded once and its ids are kept, as little-endian unsigned 32-bit numbers.
-    A tokenizer with other rules encodes whole texts instead."""
+    A tokenizer with other rules encodes whole texts instead, and so texts that quote
+    one of its added tokens, which it takes for one id."""
 
     def __init__(self, path: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.words, self.ascii_words = regex.compile(WORDS).findall, re.compile(WORDS_ASCII).findall
         self.unsure = re.compile(UNSURE).search
@@ -66,8 +66,16 @@ class WordEncoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: chr(256 + k) for k, b in enumerate(hidden)}  # the byte-level alphabet of byte-pair vocabularies
         rules = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in rules["added_tokens"]]
+        self.added_folded = [t["content"].lower() for t in rules["added_tokens"] if t["normalized"]]  # met in lower-case text
         self.by_word = all(x in json.dumps(rules.get(part)) for part, x in (("normalizer", '"Lowercase"'), ("pre_tokenizer", json.dumps(WORDS)[1:-1])))
 
+    def quotes_added(self, text: str) -> bool:
+        if self.added_folded:
+            low = unicodedata.normalize("NFC", text).lower()
+            return any(t in text for t in self.added) or any(t in low for t in self.added_folded)
+        return any(t in text for t in self.added)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
@@ -85,7 +93,7 @@ class WordEncoder:
         return b"".join(map(self.of_word.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or self.unsure(text):
+        if not self.by_word or self.unsure(text) or self.quotes_added(text):
             return self.whole(text)
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")

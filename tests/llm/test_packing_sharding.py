@@ -26,6 +26,14 @@ def test_words_of_hard_texts(text):
     assert WORDS.encode(text) == WORDS.whole(text)
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|startoftext|>", "A<|ENDOFTEXT|>b", "é <|endoftext|>", "plain words", "x<|endoftext|><|startoftext|>y 日本"])
+def test_ids_are_those_of_the_tokenizer_as_given(text):
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(WORDS.encode(text), "<u4").tolist() == ids
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), max_size=30))
 def test_packs_hold_everything(histogram):
