@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.llm import packing
 from nearfield.llm.common import cut
 
 BLOCKS = 1024
@@ -74,12 +77,25 @@ def _unit(*columns: Column | str) -> Column:
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
 
 
-def token_count(text: str | Column) -> Column:
-    """Words between white space stand for tokens; at least 1, so that no document is free."""
-    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")), F.lit(1)).cast("long")
+def default_path() -> str:
+    import public_tokenizers
 
+    return public_tokenizers.path(packing.VOCABULARY)
 
-def mix(docs: DataFrame, target: Target = Target(), blocks: int = BLOCKS, max_sources: int = 100_000, seed: int = 42) -> DataFrame:
+
+def token_count(text: str | Column, path: str) -> Column:
+    """The text's tokens by the packing operator's encoder; at least 1, so that no document is free."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = packing.encoder(path).encode
+        for texts in batches:
+            yield pd.Series([max(1, len(encode(t or "")) // 4) for t in texts], dtype="int64")
+
+    return count(text)
+
+
+def mix(docs: DataFrame, target: Target = Target(), blocks: int = BLOCKS, max_sources: int = 100_000, seed: int = 42, path: str | None = None) -> DataFrame:
     """docs(doc_id, text, source, ...) -> doc_id, source, tokens, weight, copies, row: one row per row of docs,
     copies saying how often the mix reads it.
 
@@ -89,12 +105,13 @@ def mix(docs: DataFrame, target: Target = Target(), blocks: int = BLOCKS, max_so
     is spent, and of the block in which that happens the first documents in the reading's order,
     so that a source meets its budget to within one document. A null source is a source of its
     own, by the empty name. Rows that repeat an id are separate rows; null ids are rows as well. Empty
-    texts count 1 token. Other columns are ignored; an empty table gives no rows.
+    texts count 1 token. Tokens are those of the tokenizer at path, by default the one that sequences are
+    packed with. Other columns are ignored; an empty table gives no rows.
 
     Gathered are one number per source (an error beyond max_sources) and, per source, its blocks' sizes.
     Only the one block in which a source's budget ends is ordered row by row.
     """
-    rows = docs.select("doc_id", F.coalesce("source", F.lit(UNNAMED)).alias("source"), token_count("text").alias("tokens"), F.xxhash64("text").alias("h"))
+    rows = docs.select("doc_id", F.coalesce("source", F.lit(UNNAMED)).alias("source"), token_count("text", path or default_path()).alias("tokens"), F.xxhash64("text").alias("h"))
     rows = cut(rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h"), F.lit(blocks)).cast("int")).withColumn("row", F.monotonically_increasing_id()))
     sizes = rows.groupBy("source", "block").agg(F.sum("tokens").alias("n"))
     totals = sizes.groupBy("source").agg(F.sum("n")).limit(max_sources + 1).collect()

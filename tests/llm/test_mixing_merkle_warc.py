@@ -62,6 +62,15 @@ def test_mix_odd_rows(spark):
         mixing.mix(odd(spark), max_sources=1)
 
 
+def test_tokens_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["日本語のテキスト" * 40, "x" * 500, "don't stop, el niño", "", None]
+    got = mixing.mix(spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")).collect()
+    tokenizer = Tokenizer.from_file(mixing.default_path())
+    assert {r.doc_id: r.tokens for r in got} == {k: max(1, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for k, t in enumerate(texts)}
+
+
 def test_tempered_ends():
     assert mixing.tempered([3.0, 1.0], 1.0) == [0.75, 0.25] and mixing.tempered([3.0, 1.0], 0.0) == [0.5, 0.5]
 
