@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import exact_dedup, mixing, packing, quality, simhash
-from nearfield.llm.common import shared_folder, table
+from nearfield.llm.common import lower_ascii, shared_folder, table
 from nearfield.llm.queries import tokenizer_path
 
 
@@ -18,23 +18,33 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, quality.learn_quality(docs, table(spark, sf_dir, "labels")))
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids (doc_id, distinct), and rows without an id."""
-    named = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+def _text_key() -> Column:
+    return F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
+
+
+def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of docs for each of chosen (doc_id, text_key, rows; one row per id and key), whose id may be null. Texts
+    move on only for keys that several rows share, each task sending one of them at most."""
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("text_key").alias("chosen_key"), "rows")
+    keyed = docs.withColumn("text_key", _text_key())
+    found = keyed.join(chosen, keyed.doc_id.eqNullSafe(F.col("chosen_id")) & (keyed.text_key == F.col("chosen_key")))
+    several = found.where("rows > 1").dropDuplicates(["doc_id", "text_key"])
+    return found.where("rows = 1").select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
-    found = exact_dedup.exact_duplicates(docs)
-    return _only(docs, found.where("kept").select("doc_id"))
+    """Of equal texts one row with the largest id stays, of those without any id one row."""
+    found = exact_dedup.exact_duplicates(docs).where("kept")
+    return _only(docs, found.groupBy("doc_id", F.col("text_sha256").alias("text_key")).agg(F.count("*").alias("rows")))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, the one with the smallest id stays. Links are those of operator 5's query
+    """Of documents whose fingerprints link, one row with the smallest id stays, of those without any id one row. Links are those of operator 5's query
     (four words, 4 bits), which leaves most pairs of a Jaccard similarity of 0.8 in the corpus: see the README."""
-    found = simhash.near_duplicates(docs)
-    return _only(docs, found.where("doc_id = component_id").select("doc_id"))
+    found = simhash.near_duplicates(docs.withColumn("text_key", _text_key()), carry=("text_key",))
+    texts = found.groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    first = texts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "rows")).alias("first"))
+    return _only(docs, first.groupBy("first.doc_id", "first.text_key").agg(F.max("first.rows").alias("rows")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ def fingerprint_components(prints: DataFrame, limit: int = 4, groups: int = 8) -
     return components(stars.unionByName(rest.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()))
 
 
-def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4, groups: int = 8, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4, groups: int = 8, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, fingerprint (16 hex digits), component_id: one row per
     row of docs.
 
@@ -140,11 +140,15 @@ def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4, groups: int
 
     groups sets the grid: with more of them cells are finer (fewer chance meetings
     among very many documents) and each fingerprint enters more cells. Results do not depend on it.
+
+    carry names columns of docs that are returned as well, and with them label, a number that
+    only rows of one component share, which component_id is not where ids repeat or are null.
     """
-    keys = cut(docs.select("doc_id", simhash_column("text", width, seed).alias("fp")))
+    keys = cut(docs.select("doc_id", simhash_column("text", width, seed).alias("fp"), *carry))
     prints = cut(keys.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     labels = fingerprint_components(prints.select("fp"), limit, groups)
     tied = cut(labels.join(prints, labels.node == prints.fp).select("fp", "label", "first_id"))
     lowest = tied.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_fp = prints.join(tied.join(lowest, "label").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return keys.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = prints.join(tied.join(lowest, "label").select("fp", "label", "component_id"), "fp", "left")
+    by_fp = by_fp.select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("label", "fp").alias("label"))
+    return keys.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry, *["label"] * bool(carry))

@@ -43,6 +43,18 @@ def test_each_stage_by_brute_force(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "packing"]
 
 
+def test_rows_without_an_id_and_repeated_ids_follow_the_decision(spark):
+    words = "one two three four five six seven eight nine ten"
+    rows = [(None, words), (None, words.upper()), (4, words), (None, "no id at all"), (None, "No id at all"), (7, "another text"), (7, "yet one more"), (9, "yet one more"), (8, "the same row"), (8, "the same row")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [("4", words), ("7", "another text"), ("8", "the same row"), ("9", "yet one more"), ("None", "no id at all")]
+    out = corpus_pipeline.drop_exact(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in out) == want
+    want[3] = ("7", "yet one more")  # the smallest id here
+    out = corpus_pipeline.drop_near(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in out) == sorted(want)
+
+
 def test_run_ends_with_pieces(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
