@@ -461,11 +461,13 @@ def nsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.recall(graph.search_graph(_nsw(v), queries_of(v), K), _truth(v))
 
 
-# Layouts and traces. Layouts learn from the queries divisible by 200; reads are counted on the others.
+# Layouts and traces, of all queries. Only twpp learns from traces: from the queries divisible by 200, and its reads are counted on the others.
 
 
-def _trace(v: DataFrame, g: DataFrame, train: bool) -> DataFrame:
-    some = queries_of(v).where(F.col("qid") % 200 == (0 if train else 100))
+def _trace(v: DataFrame, g: DataFrame, train: bool | None = None) -> DataFrame:
+    some = queries_of(v)
+    if train is not None:
+        some = some.where(F.col("qid") % 200 == (0 if train else 100))
     return cut(graph.search_graph(g, some, K, output="trace"))
 
 
@@ -483,7 +485,7 @@ def _add_layout(method: str) -> None:
     def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = vectors(spark, sf_dir)
         g = _nsw(v)
-        return layout.page_reads(_trace(v, g, False), _pages(v, g, method))
+        return layout.page_reads(_trace(v, g, False if method == "twpp" else None), _pages(v, g, method))
 
     QUERIES[f"layout_reorder_{method}"], QUERIES[f"layout_page_reads_{method}"] = reordered, reads
 
@@ -508,33 +510,33 @@ def layout_packing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     g = _nsw(v)
-    return layout.simulate_cache(_trace(v, g, False), _pages(v, g, "heavy_edge"), 64, pin=8)
+    return layout.simulate_cache(_trace(v, g), _pages(v, g, "heavy_edge"), 64, pin=8)
 
 
 @query()
 def layout_head_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     g = _nsw(v)
-    return layout.page_head_share(_trace(v, g, False), _pages(v, g, "bfs"))
+    return layout.page_head_share(_trace(v, g), _pages(v, g, "bfs"))
 
 
 @query()
 def trace_coexpand(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return layout.co_expansions(_trace(v, _nsw(v), True))
+    return layout.co_expansions(_trace(v, _nsw(v)))
 
 
 @query()
 def trace_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return layout.node_counts(_trace(v, _nsw(v), True))
+    return layout.node_counts(_trace(v, _nsw(v)))
 
 
 @query()
 def trace_neighbor_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     g = _nsw(v)
-    return layout.neighbor_coexpansion(_trace(v, g, False), graph.edges_of(g))
+    return layout.neighbor_coexpansion(_trace(v, g), graph.edges_of(g))
 
 
 # Budgets by query.

@@ -207,3 +207,23 @@ def test_ratios_and_bench_row(spark):
     assert ratios == {(1, 0): (0.4, 10), (1, 1): (0.5, 5), (2, 0): (0, 0)}
     row = telemetry.bench_row(metrics, spark.createDataFrame([(1, 0.9), (2, 0.7)], "qid long, recall double")).first()
     assert (row.queries, row.least_recall, row.mean_expansions, row.stopped_share) == (2, 0.7, 10, 0.5) and row.recall == pytest.approx(0.8)
+
+
+def test_only_twpp_splits_its_queries(spark, monkeypatch):
+    from nearfield.plans import catalog
+
+    seen = []
+
+    def searched(g, some, *rest, **more):
+        seen.append(sorted(r.qid for r in some.collect()))
+        raise InterruptedError
+
+    v = spark.createDataFrame([(k, [1.0]) for k in range(0, 500, 50)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(catalog, "vectors", lambda *_: v)
+    monkeypatch.setattr(catalog, "_nsw", lambda v: None)
+    monkeypatch.setattr(catalog.graph, "search_graph", searched)
+    whole = ["trace_coexpand", "trace_node_counts", "trace_neighbor_rate", "layout_cache", "layout_head_share", *[f"layout_page_reads_{m}" for m in ("bfs", "neighbor_run", "heavy_edge", "affinity")]]
+    for name in [*whole, "layout_reorder_twpp", "layout_page_reads_twpp"]:
+        with pytest.raises(InterruptedError):
+            catalog.QUERIES[name](spark, "")
+    assert seen == [[0, 100, 200, 300, 400]] * len(whole) + [[0, 200, 400], [100, 300]]
