@@ -121,7 +121,8 @@ class Filters:
 
 def learn_filters(docs: DataFrame, per_language: int = PER_LANGUAGE, profile: int = PROFILE, slots: int = SLOTS, most_languages: int = 1024, seed: int = 42) -> Filters:
     """Profiles from texts with a lang that are not held out: about per_language texts of each
-    language at most (a documented bound), and of those the n-grams that stand in most texts."""
+    language at most (a documented bound), and of those the n-grams that stand in most texts: in
+    three at least, unless no n-gram of the language does."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     if known.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
         raise ValueError(f"more than {most_languages} languages")
@@ -137,7 +138,10 @@ def learn_filters(docs: DataFrame, per_language: int = PER_LANGUAGE, profile: in
 
     grams = texts.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = grams.where("n >= 3").withColumn("k", F.row_number().over(best)).where(F.col("k") <= profile).select("lang", "gram").toPandas()
+    # where no n-gram stands in three texts, as with one or two texts of a language, all may enter
+    grams = cut(grams)
+    scarce = [r.lang for r in grams.groupBy("lang").agg(F.max("n").alias("most")).where("most < 3").select("lang").collect()]
+    kept = grams.where((F.col("n") >= 3) | F.col("lang").isin(scarce)).withColumn("k", F.row_number().over(best)).where(F.col("k") <= profile).select("lang", "gram").toPandas()
     return Filters.build({lang: some.to_numpy().astype(np.int64).view(np.uint64) for lang, some in kept.groupby("lang")["gram"]}, slots)
 
 

@@ -180,3 +180,13 @@ def test_nothing_to_learn_from(spark):
     assert language.language_id(empty(spark)).count() == 0
     assert {r.lang_pred for r in language.identify(odd(spark), language.Filters.build({})).collect()} == {"und"}
     assert toxicity.toxicity(empty(spark), none).count() == quality.quality(empty(spark), none).count() == 0
+
+
+def test_a_language_with_one_or_two_texts_is_learned(spark):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % language.FOLDS != language.HELD_OUT]
+    texts = [*[("en", "the weather is fine and the river runs high")] * 5, ("fi", "sää on kaunis ja joki virtaa"), ("cs", "dnes prší"), ("cs", "zítra bude hezky")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in zip(ids, texts)], "doc_id long, text string, lang string")
+    filters = language.learn_filters(docs)
+    assert filters.languages == ["cs", "en", "fi"]
+    got = language.identify(spark.createDataFrame([(1, "kaunis joki"), (2, "the river"), (3, "zítra prší")], "doc_id long, text string"), filters).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "fi", 2: "en", 3: "cs"}
