@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,64 +13,73 @@ from pyspark.sql import types as T
 from nearfield.llm.common import cut
 
 LAW = "bytes"
-Key = tuple[int, int, int]
+KEYS = ["k1", "k2", "k3", "k4"]
 
 
-def quantile_splitters(sample: list[tuple[Key, float]], parts: int) -> list[Key]:
-    """The keys at which the sample's weight passes each of parts - 1 equal steps."""
-    sample = sorted(sample)
-    total, passed, out = sum(w for _, w in sample), 0.0, []
-    for key, weight in sample:
-        passed += weight
-        while len(out) < parts - 1 and passed >= total * (len(out) + 1) / parts:
-            out.append(key)
-    return sorted(set(out))
+def quantile_splitters(keys: np.ndarray, weights: np.ndarray, parts: int) -> np.ndarray:
+    """Rows of keys (sample, 4) at which the sample's weight passes each of parts - 1 equal steps, in order, each once."""
+    order = np.lexsort(keys.T[::-1])
+    passed = np.cumsum(weights[order])
+    if not len(passed):
+        return keys[:0]
+    steps = passed[-1] * np.arange(1, parts) / parts
+    return np.unique(keys[order[np.minimum(np.searchsorted(passed, steps), len(order) - 1)]], axis=0)
 
 
-def _in_range(splitters: list[Key]):
-    """Number of the range that holds a key: how many splitters are at or below it."""
+def range_numbers(splitters: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """How many splitters are at or below each key. The first column is a hash, so it nearly always decides; rows whose hash a
+    splitter has as well are compared whole."""
+    low, high = np.searchsorted(splitters[:, 0], columns[0], "left"), np.searchsorted(splitters[:, 0], columns[0], "right")
+    out = low.copy()
+    for k in np.flatnonzero(low != high):
+        key = tuple(c[k] for c in columns)
+        out[k] += sum(tuple(s) <= key for s in splitters[low[k] : high[k]])
+    return out.astype(np.int32)
 
+
+def _in_range(splitters: np.ndarray):
     @F.pandas_udf(T.IntegerType())
     def number(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
-            yield pd.Series([bisect.bisect_right(splitters, k) for k in zip(*(c.tolist() for c in columns), strict=True)], dtype=np.int32)
+            yield pd.Series(range_numbers(splitters, [c.to_numpy(np.int64) for c in columns]))
 
-    return number
+    return number(*KEYS)
 
 
-def _draw(keys: DataFrame, size: int, weight: float, seed: int) -> list[tuple[Key, float]]:
+def _draw(keys: DataFrame, size: int, weight: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """About size keys, each with a chance in proportion to its row's size; a row so large that
     it is certain to be drawn keeps its weight beyond that."""
     step = max(1.0, weight / size)
-    unit = F.xxhash64(F.lit(seed), "k1", "k2", "k3").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    drawn = keys.where(unit * step < F.col("size")).select("k1", "k2", "k3", F.greatest("size", F.lit(step)).alias("w"))
-    return [((r[0], r[1], r[2]), r[3]) for r in drawn.collect()]
+    unit = F.xxhash64(F.lit(seed), *KEYS).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    drawn = keys.where(unit * step < F.col("size")).select(*KEYS, F.greatest("size", F.lit(step)).alias("w")).toPandas()
+    return drawn[KEYS].to_numpy(np.int64).reshape(-1, len(KEYS)), drawn["w"].to_numpy(float)
 
 
-def split_ranges(keys: DataFrame, parts: int, sample_size: int, rounds: int = 4, seed: int = 42) -> tuple[list[Key], DataFrame]:
-    """keys(k1, k2, k3, size, ...) -> the splitters, and per range: range, n, bytes.
+def split_ranges(keys: DataFrame, parts: int, sample_size: int, seed: int = 42) -> tuple[np.ndarray, DataFrame]:
+    """keys(k1 to k4, size, ...), no two rows alike in k1 to k4 -> the splitters, and per range: range, n, bytes.
 
     Splitters are quantiles of a size-weighted sample of about sample_size keys, which is what the
     driver gets. The ranges are then measured over all rows. Overfull ones (over twice the
-    mean) are drawn from again, as densely as their size asks, and subdivided.
+    mean) are drawn from again, as densely as their size asks, and subdivided, as often as that parts any of them.
+    What stays overfull holds single documents of such a size.
     """
     total = keys.agg(F.sum("size")).first()[0] or 0
-    splitters = quantile_splitters(_draw(keys, sample_size, total, seed), parts)
-    for k in range(rounds):
-        numbered = keys.withColumn("range", _in_range(splitters)("k1", "k2", "k3"))
-        ranges = cut(numbered.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
-        over = {r["range"]: r["bytes"] for r in ranges.where((F.col("bytes") > 2 * total / parts) & (F.col("n") > 1)).collect()}
-        if not over or k == rounds - 1:
-            break
-        more = list(splitters)
-        drawn = _draw(numbered.where(F.col("range").isin(list(over))), sample_size, sum(over.values()), seed + k + 1)
-        for number, size in over.items():
-            mine = [(key, w) for key, w in drawn if bisect.bisect_right(splitters, key) == number]
-            more += quantile_splitters(mine, 2 + int(size * parts / total))
-        if len(more := sorted(set(more))) == len(splitters):
-            break
+    splitters = quantile_splitters(*_draw(keys, sample_size, total, seed), parts)
+    while True:
+        numbered = keys.withColumn("range", _in_range(splitters))
+        ranges = cut(numbered.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("largest")))
+        heavy = (F.col("bytes") > 2 * total / parts) & (F.col("n") > 1) & (F.col("bytes") > 2 * F.col("largest"))
+        over = {r["range"]: r["bytes"] for r in ranges.where(heavy).collect()}  # parts / 2 of them at most
+        if not over:
+            return splitters, ranges
+        seed += 1
+        sample, weights = _draw(numbered.where(F.col("range").isin(list(over))), max(sample_size, 8 * len(over)), sum(over.values()), seed)
+        place = range_numbers(splitters, list(sample.T))
+        more = [splitters, *(quantile_splitters(sample[place == k], weights[place == k], 2 + int(size * parts / total)) for k, size in over.items())]
+        more = np.unique(np.concatenate(more), axis=0)
+        if len(more) == len(splitters):
+            return splitters, ranges
         splitters = more
-    return splitters, ranges
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, rows_per_range: int = 250_000, most_ranges: int = 1 << 16, sample_per_range: int = 32, seed: int = 42) -> DataFrame:
@@ -86,22 +94,23 @@ def shard_documents(docs: DataFrame, shards: int = 16, rows_per_range: int = 250
     columns are ignored; an empty table gives no rows.
 
     Rows are never sorted all together: each of 64 ranges a shard, and more of them beyond rows_per_range rows
-    each, sorts its own, and the sums before a range come from the measured ranges, about most_ranges rows at
-    most. So is the sample bounded, by sample_per_range keys for each range.
+    each, sorts its own, and the sums before a range come from the measured ranges. There are about most_ranges of them at
+    most, so ranges hold more than rows_per_range rows from the product of both on. So is the sample bounded, by sample_per_range
+    keys for each range.
     """
     text = F.coalesce("text", F.lit(""))
     keys = docs.select(
         F.col("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("k1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k2"),
     ).withColumn("k3", F.col("text_crc32"))
-    keys = cut(keys)
+    keys = cut(keys.withColumn("k4", F.monotonically_increasing_id()))  # tells repeated rows apart
     parts = max(64 * shards, min(most_ranges, keys.count() // rows_per_range))
     splitters, ranges = split_ranges(keys, parts, sample_per_range * parts, seed=seed)
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over the measured ranges only
     starts = ranges.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
     total = ranges.agg(F.sum("bytes")).first()[0] or 1
-    order = Window.partitionBy("range").orderBy("k1", "k2", "k3")
-    placed = keys.withColumn("range", _in_range(splitters)("k1", "k2", "k3"))
+    order = Window.partitionBy("range").orderBy(*KEYS)
+    placed = keys.withColumn("range", _in_range(splitters))
     placed = placed.withColumn("k", F.row_number().over(order) - 1).withColumn("b", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(F.broadcast(starts), "range")  # a few times `parts` rows, whatever the input
     middle = F.col("bytes_before") + F.col("b") + F.expr("size div 2")

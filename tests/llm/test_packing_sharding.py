@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from nearfield.llm import packing, sharding
 from nearfield.llm.queries import tokenizer_path
@@ -140,6 +141,26 @@ def test_shard_hot_group_and_small_sample(spark):
     assert sum(len(x) > 1 for x in cold.values()) <= 16  # only a boundary parts equal texts
 
 
+def test_shard_repeated_rows(spark):
+    """Rows alike in everything are told apart, so their ranges can be subdivided too."""
+    texts = [(None, "the same row")] * 2000 + [(k, f"text {k}") for k in range(500)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    check_shards(sharding.shard_documents(docs).collect(), texts)
+    keys = docs.select(F.xxhash64("text").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"), F.monotonically_increasing_id().alias("k4"), F.lit(10).alias("size"))
+    _, ranges = sharding.split_ranges(keys.cache(), 20, 10)
+    assert ranges.agg(F.max("n")).first()[0] <= 2 * 2500 / 20
+
+
 def test_quantiles():
-    cuts = sharding.quantile_splitters([((k, 0, 0), 1.0) for k in range(100)], 4)
-    assert cuts == [(24, 0, 0), (49, 0, 0), (74, 0, 0)]
+    keys = np.array([(k, 0, 0, 0) for k in range(100)])
+    assert sharding.quantile_splitters(keys, np.ones(100), 4).tolist() == [[24, 0, 0, 0], [49, 0, 0, 0], [74, 0, 0, 0]]
+
+
+def test_range_numbers_by_bisection():
+    import bisect
+
+    rng = random.Random(6)
+    splitters = sorted({tuple(rng.randint(0, 3) for _ in range(4)) for _ in range(40)})
+    rows = [tuple(rng.randint(0, 3) for _ in range(4)) for _ in range(300)]
+    got = sharding.range_numbers(np.array(splitters), list(np.array(rows).T))
+    assert got.tolist() == [bisect.bisect_right(splitters, r) for r in rows]
