@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from nearfield.llm import packing
 from nearfield.llm.common import cut
 
-BLOCKS = 1024
+#: Blocks of a mix, at least, and rows of a block over all sources, at most about.
+BLOCKS, ROWS_PER_BLOCK = 1024, 100_000
 UNNAMED = ""
 
 
@@ -95,8 +96,8 @@ def token_count(text: str | Column, path: str) -> Column:
     return count(text)
 
 
-def mix(docs: DataFrame, target: Target = Target(), blocks: int = BLOCKS, max_sources: int = 100_000, seed: int = 42, path: str | None = None) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> doc_id, source, tokens, weight, copies, row: one row per row of docs,
+def mix(docs: DataFrame, target: Target = Target(), blocks: int = BLOCKS, max_sources: int = 100_000, seed: int = 42, path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text, source, ...) -> doc_id, source, tokens, weight, copies, row [, carry]: one row per row of docs,
     copies saying how often the mix reads it.
 
     A source's share of tokens, raised to the exponent that target asks for, is its weight, and weight
@@ -106,20 +107,24 @@ def mix(docs: DataFrame, target: Target = Target(), blocks: int = BLOCKS, max_so
     so that a source meets its budget to within one document. A null source is a source of its
     own, by the empty name. Rows that repeat an id are separate rows; null ids are rows as well. Empty
     texts count 1 token. Tokens are those of the tokenizer at path, by default the one that sequences are
-    packed with. Other columns are ignored; an empty table gives no rows.
+    packed with. carry names columns that are returned as well; others are ignored. An empty table gives no rows.
 
     Gathered are one number per source (an error beyond max_sources) and, per source, its blocks' sizes.
-    Only the one block in which a source's budget ends is ordered row by row.
+    Only the one block in which a source's budget ends is ordered row by row. There are `blocks` of them at least, and more where that
+    would make blocks of over ROWS_PER_BLOCK rows.
     """
-    rows = docs.select("doc_id", F.coalesce("source", F.lit(UNNAMED)).alias("source"), token_count("text", path or default_path()).alias("tokens"), F.xxhash64("text").alias("h"))
-    rows = cut(rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h"), F.lit(blocks)).cast("int")).withColumn("row", F.monotonically_increasing_id()))
+    rows = docs.select("doc_id", F.coalesce("source", F.lit(UNNAMED)).alias("source"), token_count("text", path or default_path()).alias("tokens"), F.xxhash64("text").alias("h"), *carry)
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    blocks = max(blocks, rows.count() // ROWS_PER_BLOCK)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h"), F.lit(blocks)).cast("int"))
     sizes = rows.groupBy("source", "block").agg(F.sum("tokens").alias("n"))
     totals = sizes.groupBy("source").agg(F.sum("n")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    spark, planned = docs.sparkSession, plan({r[0]: r[1] for r in totals}, target)
+    spark, amounts = docs.sparkSession, {r[0]: r[1] for r in totals}
+    planned = plan(amounts, target)
     schema = "source string, weight double, whole int, budget double"
-    table = spark.createDataFrame([(s, w, int(r), (r - int(r)) * dict(totals)[s]) for s, (w, r) in planned.items()], schema)
+    table = spark.createDataFrame([(s, w, int(r), (r - int(r)) * amounts[s]) for s, (w, r) in planned.items()], schema)
     table = F.broadcast(table)  # max_sources rows at most
     epoch = F.col("whole") + 1
     order = Window.partitionBy("source").orderBy("turn", "block")
@@ -135,7 +140,7 @@ def mix(docs: DataFrame, target: Target = Target(), blocks: int = BLOCKS, max_so
     partial = partial.withColumn("more", (F.col("before") + F.col("tokens") / 2 <= F.col("rest")).cast("int"))
     # without an end block the budget is either nothing or everything
     others = read.where(F.coalesce(~cut_block, F.lit(True))).withColumn("more", F.coalesce(earlier, F.lit(False)).cast("int"))
-    names = ["doc_id", "source", "tokens", "weight", (F.col("whole") + F.col("more")).alias("copies"), "row"]
+    names = ["doc_id", "source", "tokens", "weight", (F.col("whole") + F.col("more")).alias("copies"), "row", *carry]
     return others.select(*names).unionByName(partial.select(*names))
 
 
@@ -149,10 +154,11 @@ def schedule(mixed: DataFrame, seed: int = 42) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, target: Target = Target(), seed: int = 42) -> DataFrame:
     """The rows of docs, with their columns, as often as mix() reads them: decisions are made on ids and
-    counts, and texts move once."""
-    chosen = mix(docs, target, seed=seed).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    # rows that repeat an id share its readings evenly
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("copies"))
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("document"))
-    read = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id"))).where("copies > 0")
-    return read.select("document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")
+    counts, and texts move once. Rows alike in every column are read as often as mix() reads all of them together."""
+    marked = docs.withColumn("_alike", F.xxhash64(*docs.columns))
+    chosen = mix(marked, target, seed=seed, carry=("_alike",)).groupBy("doc_id", "_alike").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("_alike").alias("chosen"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
+    found = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("_alike") == F.col("chosen"))).where("_copies > 0")
+    several = found.where("_rows > 1").dropDuplicates(["doc_id", "_alike"])
+    read = found.where("_rows = 1").unionByName(several)
+    return read.select(F.struct(*docs.columns).alias("document"), F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("document.*")
