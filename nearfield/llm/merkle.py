@@ -36,8 +36,8 @@ def marks(leaf_list: Column) -> Column:
 
 
 def fingerprint(section_list: Column, mark_list: Column) -> Column:
-    """root:sections:leaves. The root is a hash over the sections' digests, which settle everything below, so
-    equal roots mean equal texts; where roots differ, so do the sections and leaves that were edited."""
+    """root:sections:leaves. The root is a hash over the sections' digests, which stand for everything below (by
+    64 bits each), so equal roots mean equal texts; where roots differ, so do the sections and leaves that were edited."""
     joined = F.array_join(section_list, ",")
     return F.concat_ws(":", F.sha2(joined, 256), joined, F.array_join(mark_list, ""))
 
@@ -60,18 +60,59 @@ def changed_sections(before: Column, after: Column) -> Column:
     return F.filter(F.sequence(F.lit(1), F.greatest(F.size(after), F.lit(1))), lambda i: ~F.coalesce(F.array_contains(before, F.get(after, i - 1)), F.lit(True)))
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
+#: Rows of a bucket, about; quantiles that cut the ids, and buckets in all, at most.
+BUCKET_ROWS, MOST_CUTS, MOST_BUCKETS = 256, 2048, 1 << 20
+#: An id is hot from this part of all rows on, so there are no more of them than that.
+HOT = 1000
+
+
+def _share(low: Column, high: Column, value: Column) -> Column:
+    """How far value lies from low to high, 0 to 1."""
+    return F.when(high > low, (value.cast("double") - low) / (high.cast("double") - low)).otherwise(F.lit(0.0))
+
+
+def with_next(docs: DataFrame, rows_per_bucket: int = BUCKET_ROWS, most_cuts: int = MOST_CUTS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text, next_text: the text of the next row by descending doc_id,
     after the last the first. Rows of one id follow one another by their text's hash; nulls come last.
 
-    Rows go by id into buckets cut at quantiles; each bucket orders its own. The first rows of
-    every bucket also visit the bucket before, where they follow its last. Texts move once. What is gathered
-    is one row a bucket.
+    Rows go by id into ranges cut at quantiles, each divided evenly into buckets of about rows_per_bucket rows (more beyond
+    MOST_BUCKETS of these); rows without an id, and those of an id that holds many rows, are divided by hash instead. Each bucket orders
+    its own rows. The first row of every bucket also visits the bucket before, where it follows the last. Texts move once. What is
+    gathered is a short row a bucket.
     """
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = min(1 << 16, max(1, docs.select("doc_id").count() // rows_per_bucket))
-    steps = [k / parts for k in range(1, parts)]
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", steps, max(10_000, 20 * parts))).first()[0] or [])) if steps else []
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ids = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    total = docs.select("doc_id").count()
+    hot = [r[0] for r in ids.where((F.col("n") > 4 * rows_per_bucket) & (F.col("n") * HOT >= total) & F.col("doc_id").isNotNull()).select("doc_id").collect()] if total > 4 * rows_per_bucket else []
+    parts = min(MOST_BUCKETS, max(1, total // rows_per_bucket))
+    ranges = min(parts, most_cuts)
+    steps = [k / ranges for k in range(1, ranges)]
+    found = docs.agg(F.percentile_approx("doc_id", steps, max(10_000, 20 * ranges)), F.min("doc_id"), F.max("doc_id")).first() if steps else (None, None, None)
+    cuts = sorted({c for c in found[0] or []} | {x for i in hot for x in (max(i - 1, -(1 << 63)), i)})
+    fine = max(1, -(-parts // ranges), -(-parts // 8) if hot else 1)  # a hot id's rows are as many buckets as its share may ask for
+    ends = F.array(*map(F.lit, [*([found[1]] if cuts else []), *cuts, *([found[2]] if cuts else [])])).cast("array<bigint>")
+    number = _bisect(cuts, F.col("doc_id"))
+    by_hash = (F.col("h") / float(1 << 64) + 0.5) * fine
+    inner = F.when(F.col("doc_id").isin(hot), fine - 1 - F.floor(by_hash)) if hot else F.when(F.lit(False), F.lit(0))
+    inner = inner.otherwise(F.floor(_share(F.get(ends, number), F.get(ends, number + 1), F.col("doc_id")) * fine)) if cuts else F.lit(0)
+    inner = F.least(F.greatest(inner, F.lit(0)), F.lit(fine - 1))
+    bucket = F.when(F.col("doc_id").isNull(), 1 + F.least(F.floor(by_hash), F.lit(fine - 1))).otherwise(-(number * fine + inner)).cast("long")  # ascending as ids descend
+    rows = rows.withColumn("bucket", bucket)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.bitwise_not("doc_id").alias("down"), "h"))
+    heads = rows.groupBy("bucket").agg(first.alias("first")).select("bucket", F.bitwise_not("first.down").alias("head"), F.col("first.h").alias("head_h"))
+    line = Window.orderBy("bucket")  # over one row a bucket
+    last = F.max("bucket").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    visits = heads.select("head", "head_h", F.coalesce(F.lag("bucket").over(line), last).alias("visited"))
+    rows = rows.join(F.broadcast(visits), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")), "left")  # MOST_BUCKETS short rows at most
+    own = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("visit"))
+    stop = F.when(F.col("visited").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("visited").alias("at"), F.lit(True).alias("visit"))))
+    rows = rows.withColumn("stop", F.explode(stop)).select("doc_id", "text", "h", "stop.at", "stop.visit")
+    order = Window.partitionBy("at").orderBy("visit", F.desc_nulls_last("doc_id"), "h")
+    return rows.withColumn("next_text", F.lead("text").over(order)).where(~F.col("visit")).select("doc_id", "text", "next_text")
+
+
+def _bisect(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts are below the value: those of a coarse choice, then those between two of it."""
     width = max(1, math.isqrt(len(cuts)))
     coarse = cuts[width - 1 :: width]
     fine = [cuts[k : k + width] for k in range(0, len(cuts), width)] or [[]]
@@ -80,25 +121,15 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
     def longs(values: list[int]) -> Column:
         return F.array(*map(F.lit, values)).cast("array<bigint>")
 
-    place = F.size(F.filter(longs(coarse), lambda s: s < F.col("doc_id")))
-    inner = F.size(F.filter(F.element_at(F.array(*map(longs, fine)), place + 1), lambda s: s < F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(-(place * (width + 1) + inner))  # ascending as ids descend
-    heads = docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    line = Window.orderBy("bucket")  # over one row a bucket
-    last = F.max("bucket").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    visits = heads.select("head", F.coalesce(F.lag("bucket").over(line), last).alias("visited"))
-    rows = text.withColumn("bucket", bucket).join(F.broadcast(visits), F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    own = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("visit"))
-    stay = F.array(own)
-    rows = rows.withColumn("stop", F.explode(F.when(F.col("visited").isNull(), stay).otherwise(F.array(own, F.struct(F.col("visited").alias("at"), F.lit(True).alias("visit"))))))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), "stop.at", "stop.visit")
-    order = Window.partitionBy("at").orderBy("visit", F.desc_nulls_last("doc_id"), "h")
-    return rows.withColumn("next_text", F.lead("text").over(order)).where(~F.col("visit")).select("doc_id", "text", "next_text")
+    place = F.size(F.filter(longs(coarse), lambda s: s < value))
+    return place * width + F.size(F.filter(F.get(F.array(*map(longs, fine)), place), lambda s: s < value))
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next: one row per row of docs.
+    near_edited, near_next, changed_sections, n_sections: one row per row of docs.
+
+    changed_sections lists, with commas, the places (from 1) of the edited text's sections that the text's tree lacks, of n_sections in all.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the
     next document's. Null counts as empty; an empty text has no leaves and a fingerprint
@@ -113,6 +144,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sa"), F.col("a")).alias("fingerprint"), fingerprint(F.col("sb"), F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
+        F.array_join(F.transform(changed_sections(F.col("sa"), F.col("sb")), lambda i: i.cast("string")), ",").alias("changed_sections"), F.size("sb").cast("long").alias("n_sections"),
     )
 
 
@@ -138,6 +170,7 @@ EDIT_REPORT_SQL = r"""
     )
     SELECT doc_id, n AS n_chars, edited_sha256, f[1] AS fingerprint, f[2] AS edited_fingerprint,
         CASE WHEN len(m1[1]) + len(m1[2]) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(m1[1], m1[2])) * 2.0::DOUBLE / (len(m1[1]) + len(m1[2])) END AS near_edited,
-        CASE WHEN len(m1[1]) + len(m1[3]) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(m1[1], m1[3])) * 2.0::DOUBLE / (len(m1[1]) + len(m1[3])) END AS near_next
+        CASE WHEN len(m1[1]) + len(m1[3]) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(m1[1], m1[3])) * 2.0::DOUBLE / (len(m1[1]) + len(m1[3])) END AS near_next,
+        array_to_string(list_filter(range(1, len(s[2]) + 1), lambda i: NOT list_contains(s[1], s[2][i])), ',') AS changed_sections, len(s[2]) AS n_sections
     FROM f
 """
