@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,20 +16,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one stands in only
-    where that setting is missing."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that setting is missing a
+    temporary one stands in on a local master; on a cluster it is an error, as executors would not share it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="nearfield-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="nearfield-"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder by Spark's own file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept, by checkpoint(), in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+#: A group is hot from this part of all rows on, so there are no more hot groups than that; each is dealt out to so many tasks.
+#: Groups of fewer than WORTH rows are not worth it.
+HOT, SALTS, WORTH = 1000, 64, 256
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """rows joined with the one row that groups has for each key, whose column `size` says how many rows the
+    group has. Rows of a hot group go to many tasks, each with a copy of the group's row; all others
+    are dealt by key. The driver gets a hash for each hot group, HOT of them at most."""
+    key, total = F.xxhash64(*on), groups.agg(F.sum(size)).first()[0] or 0
+    hot = [r[0] for r in groups.where((F.col(size) * HOT >= total) & (F.col(size) >= WORTH)).select(key).distinct().collect()]
+    if not hot:
+        return rows.join(groups.drop(size), on)
+    salt = F.when(key.isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0))
+    copies = F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")
+    salted = groups.drop(size).withColumn("_salt", F.explode(copies))
+    return rows.withColumn("_salt", salt).join(salted, [*on, "_salt"]).drop("_salt")
+
+
 def lower_ascii(text: str | Column) -> Column:
     """A-Z to a-z and nothing else. Texts without other than ASCII take the faster lower()."""
     text = F.col(text) if isinstance(text, str) else text
