@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import math
+import random
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.llm.common import cut
+from nearfield.llm.common import cut, spread_join
 from nearfield.llm.components import components
 
 SEED = 42
 #: Rows of cells that a task makes, at most about.
 CELLS_PER_TASK = 2_000_000
+#: Cells with more members than this are cut up further before members are compared with one another.
+LARGE_CELL = 64
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -90,45 +95,112 @@ def cell_masks(limit: int, groups: int) -> list[int]:
     return [_signed(sum(part[i] for i in chosen)) for chosen in combinations(range(groups), groups - limit)]
 
 
+def comb_masks(limit: int) -> list[int]:
+    """Bit masks over the fingerprint itself. Its bits fall into 2 * limit combs, every so many bits one; limit
+    differing bits leave at least limit combs untouched. Whatever part of the fingerprints a cell's members
+    share, each mask also holds bits of the rest."""
+    teeth = [sum(1 << b for b in range(k, 64, 2 * limit)) for k in range(2 * limit)]
+    return [_signed(sum(teeth[k] for k in chosen)) for chosen in combinations(range(2 * limit), limit)]
+
+
 def _close(a: Column, b: Column, limit: int) -> Column:
     """The lower bound first, then the exact distance."""
     return (F.bit_count(embedding(a).bitwiseXOR(embedding(b))) <= limit) & (F.bit_count(a.bitwiseXOR(b)) <= limit)
 
 
-def fingerprint_components(prints: DataFrame, limit: int = 4, groups: int = 8) -> DataFrame:
+def grid_groups(n: int, limit: int = 4, weight: float = 4.0) -> int:
+    """The number of groups whose grid costs n fingerprints least: rows of cells, and `weight` for each chance
+    meeting in them. Two unrelated embeddings agree on a coordinate with probability 3/8."""
+    def cost(groups: int) -> float:
+        return math.comb(groups, limit) * (1 + weight * n * 0.375 ** (32 * (groups - limit) / groups))
+
+    return min(range(limit + 2, 4 * limit + 5), key=cost) if limit < 8 else 2 * limit
+
+
+def _dealt(prints: DataFrame, rows_each: int, key: str) -> DataFrame:
+    """A few bytes a row now, rows_each rows for each next: so many partitions that none makes too many."""
+    least = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.repartition(max(least, prints.count() * rows_each // CELLS_PER_TASK), key)
+
+
+def _links(cells: DataFrame, close: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """cells(cell, node) -> labels(node, label) over links between nodes that share a cell, are close, and verified.
+
+    close keeps of pairs (a, b) the close ones, with their distance d, each once; verify keeps the links among them.
+    The two members of a cell of two, the usual chance meeting, are compared on the spot. No larger cell's pairs are
+    listed at first: each member is compared with the cell's smallest one, each node's closest pair is verified, and the
+    components so far are found. What may still tie components together is compared then: close pairs not yet
+    verified, and, in cells that still hold several components, the members outside the largest one with the members
+    of other components. Large such cells are cut up by refine first. Pairs left out lie in one component
+    already, so components are exact for what shares a cell.
+    """
+    shared = cut(cells.groupBy("cell").agg(F.min("node").alias("rep"), F.max("node").alias("top"), F.count("*").alias("n")).where("n > 1"))
+    members = cut(spread_join(cells, shared.where("n > 2").select("cell", "rep", "n"), ["cell"], "n"))
+    pairs = members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    stars = cut(close(pairs.unionByName(shared.where("n = 2").select(F.col("top").alias("a"), F.col("rep").alias("b")))))
+    best = stars.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    links = cut(verify(best))
+    first = components(links)
+    named = first.select(F.col("node").alias("named"), "label")
+
+    def across(found: DataFrame) -> DataFrame:
+        for side in "ab":
+            found = found.join(named, F.col(side) == F.col("named"), "left").withColumn(f"{side}_comp", F.coalesce("label", side)).drop("named", "label")
+        return found.where("a_comp <> b_comp").select("a", "b")
+
+    tagged = cut(members.join(named, members.node == named.named, "left").select("cell", "node", F.coalesce("label", "node").alias("comp")))
+    whole = _mixed(tagged)
+    largest = whole.agg(F.max("n")).first()[0] or 0
+    small = whole.where(F.col("n") <= LARGE_CELL)
+    if largest > LARGE_CELL:
+        finer = refine(whole.where(F.col("n") > LARGE_CELL).select("cell", "node", "comp"), largest)
+        small = small.unionByName(_mixed(cut(finer)))
+    outside = small.where("comp <> main").select("cell", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
+    rest = small.join(outside, "cell").where((F.col("comp") != F.col("other_comp")) & ((F.col("node") > F.col("other")) | (F.col("comp") == F.col("main"))))
+    rest = close(rest.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")))
+    more = cut(across(stars).unionByName(rest.select("a", "b")).distinct())
+    if more.isEmpty():
+        return first
+    return components(links.select("a", "b").unionByName(verify(more).select("a", "b")))
+
+
+def _mixed(tagged: DataFrame) -> DataFrame:
+    """tagged(cell, node, comp): the rows of cells with several components, and with them the cell's largest component, main, and
+    number of rows, n."""
+    sizes = tagged.groupBy("cell", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("cell").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("kinds"), F.sum("c").alias("n")).where("kinds > 1")
+    return cut(tagged.join(mixed.select("cell", "main", "n"), "cell"))
+
+
+def fingerprint_components(prints: DataFrame, limit: int = 4, groups: int | None = None) -> DataFrame:
     """prints(fp), distinct -> labels(node, label) over the graph that links fingerprints at
     most limit bits apart; only fingerprints that have a link appear.
 
     A grid range-join: every fingerprint enters the cells given by cell_masks, and links can only
-    be within a cell. The two members of a cell of two, the usual chance meeting, are
-    compared on the spot. No larger cell's pairs are listed. First each member is compared with
-    the cell's smallest one; the components so far are found. Then, in cells that still hold
-    several components, the members outside the largest one are compared with the members of other
-    components. Pairs left out lie in one component already, so the components are exact.
+    be within a cell. The grid's groups follow the number of fingerprints, so that chance meetings stay
+    about as many as rows. Cells that are large and still hold several components are cut up by a grid over the
+    fingerprint's own bits, which by the same argument parts no link. The components are exact; see _links.
     """
+    groups = groups or grid_groups(prints.count(), limit)
     masks = cell_masks(limit, groups)
-    spark = prints.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), prints.count() * len(masks) // CELLS_PER_TASK)
-    prints = prints.repartition(parts, "fp")  # a few bytes a row now, a row for each mask next
-    embedded = prints.select("fp", embedding(F.col("fp")).alias("e"))
+    embedded = _dealt(prints, len(masks), "fp").select("fp", embedding(F.col("fp")).alias("e"))
     cells = embedded.select("fp", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "part"))
-    cells = cells.select("fp", F.xxhash64("mask", "part").alias("cell"))  # a collision only adds a comparison
-    shared = cut(cells.groupBy("cell").agg(F.min("fp").alias("rep"), F.max("fp").alias("top"), F.count("*").alias("n")).where("n > 1"))
-    twos = shared.where((F.col("n") == 2) & _close(F.col("rep"), F.col("top"), limit)).select(F.col("top").alias("a"), F.col("rep").alias("b"))
-    members = cut(cells.join(shared.where("n > 2").select("cell", "rep"), "cell"))
-    stars = members.where((F.col("fp") != F.col("rep")) & _close(F.col("fp"), F.col("rep"), limit))
-    stars = cut(stars.select(F.col("fp").alias("a"), F.col("rep").alias("b")).unionByName(twos).distinct())
-    first = components(stars)
-    tagged = cut(members.join(first, members.fp == first.node, "left").select("cell", "fp", F.coalesce("label", "fp").alias("comp")))
-    sizes = tagged.groupBy("cell", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("cell").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("cell", "main")
-    open_cells = cut(tagged.join(mixed, "cell"))
-    outside = open_cells.where("comp <> main").select("cell", F.col("fp").alias("other"), F.col("comp").alias("other_comp"))
-    rest = open_cells.join(outside, "cell").where((F.col("comp") != F.col("other_comp")) & _close(F.col("fp"), F.col("other"), limit))
-    return components(stars.unionByName(rest.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()))
-
-
-def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4, groups: int = 8, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    cells = cells.select(F.xxhash64("mask", "part").alias("cell"), F.col("fp").alias("node"))  # a collision only adds a comparison
+
+    def close(pairs: DataFrame) -> DataFrame:
+        return pairs.where(_close(F.col("a"), F.col("b"), limit)).distinct().withColumn("d", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+
+    def refine(large: DataFrame, largest: int) -> DataFrame:
+        parts = large.select("cell", "node", "comp", F.posexplode(F.array(*[F.col("node").bitwiseAND(F.lit(m)) for m in comb_masks(limit)])).alias("mask", "part"))
+        return parts.select(F.xxhash64("cell", "mask", "part").alias("cell"), "node", "comp")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return pairs
+
+    return _links(cells, close, verify, refine)
+
+
+def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4, groups: int | None = None, seed: int = SEED) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, fingerprint (16 hex digits), component_id: one row per
     row of docs.
 
@@ -138,17 +210,195 @@ def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4, groups: int
     keeps its row and never becomes a component_id unless all of the component is null.
     Other columns are ignored; an empty table gives no rows.
 
-    groups sets the grid: with more of them cells are finer (fewer chance meetings
-    among very many documents) and each fingerprint enters more cells. Results do not depend on it.
-
-    carry names columns of docs that are returned as well, and with them label, a number that
-    only rows of one component share, which component_id is not where ids repeat or are null.
+    groups sets the grid, by default from the number of fingerprints: with more of them cells are finer (fewer
+    chance meetings among very many documents) and each fingerprint enters more cells. Results do not depend on it.
     """
-    keys = cut(docs.select("doc_id", simhash_column("text", width, seed).alias("fp"), *carry))
-    prints = cut(keys.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    keys = cut(docs.select("doc_id", simhash_column("text", width, seed).alias("fp")))
+    prints = cut(keys.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
     labels = fingerprint_components(prints.select("fp"), limit, groups)
-    tied = cut(labels.join(prints, labels.node == prints.fp).select("fp", "label", "first_id"))
+    return spread_join(keys, _lowest(prints, labels, "fp"), ["fp"], "rows").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _lowest(nodes: DataFrame, labels: DataFrame, node: str) -> DataFrame:
+    """nodes(node, first_id, rows) -> with label and component_id, the component's smallest first_id; a node without links is
+    its own."""
+    tied = cut(nodes.join(labels.withColumnRenamed("node", node), node).select(node, "label", "first_id"))
     lowest = tied.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_fp = prints.join(tied.join(lowest, "label").select("fp", "label", "component_id"), "fp", "left")
-    by_fp = by_fp.select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("label", "fp").alias("label"))
-    return keys.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry, *["label"] * bool(carry))
+    named = tied.join(lowest, "label").select(node, "label", "component_id")
+    found = nodes.join(named, node, "left")
+    return cut(found.withColumn("component_id", F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("component_id"))).withColumn("label", F.coalesce("label", node)).drop("first_id"))
+
+
+# Texts by the similarity of their shingles.
+
+#: 64-bit words of the wide fingerprint.
+WIDE = 4
+#: The share of pairs at the similarity itself that meet in a cell; of closer pairs more do.
+MEET = 0.98
+
+#: A word's hash is the sum of its bytes' numbers times powers of BASE, so that sums over a block give those of all its words.
+BLOCK = 1 << 17
+BASE = 0x9E3779B97F4A7C15
+BYTES = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(BLOCK - 1, base, np.uint64))), dtype=np.uint64)
+
+
+POWERS, INVERSE_POWERS = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """splitmix64's finaliser; its constants are fixed values."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A number for each word between white space, a block of bytes at a time; a word may run over several."""
+    out: list[np.ndarray] = []
+    begun, size = np.zeros(1, np.uint64), 0  # of the word that the last block ended in
+    for at in range(0, len(data), BLOCK):
+        block = np.frombuffer(data, np.uint8, min(BLOCK, len(data) - at), at)
+        inside = np.concatenate(([False], ~SPACES[block], [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(BYTES[block] * POWERS[: len(block)], dtype=np.uint64)))
+        found = (sums[ends] - sums[starts]) * INVERSE_POWERS[np.minimum(starts, BLOCK - 1)]
+        if size:
+            if inside[1]:
+                found[:1] = begun + found[:1] * np.uint64(pow(BASE, size, 1 << 64))
+            else:
+                out.append(begun)
+        grown = size if size and inside[1] else 0
+        size = 0
+        if inside[-2]:
+            size, begun, found = int(ends[-1] - starts[-1]) + (grown if len(found) == 1 else 0), found[-1:], found[:-1]
+        out.append(found)
+    if size:
+        out.append(begun)
+    return _mix(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def shingle_set(text: str, width: int = 5) -> tuple[bytes, np.ndarray]:
+    """A key of the text's words (lower-case A-Z), and the sorted hashes of its different shingles of `width` words; fewer words
+    are one shingle, none give no shingle."""
+    w = word_hashes(text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER))
+    n = max(len(w) - width + 1, min(len(w), 1))
+    h = np.full(n, min(len(w), width), np.uint64)
+    for k in range(min(width, len(w))):
+        h = h * np.uint64(BASE) + w[k : k + n]
+    h = np.sort(_mix(h))
+    return hashlib.sha256(w.tobytes()).digest(), h[np.concatenate((np.ones(min(n, 1), bool), h[1:] != h[:-1]))]
+
+
+def wide_fingerprint(shingles: np.ndarray, words: int = WIDE, block: int = 1 << 16) -> list[int]:
+    """A SimHash of 64 bits for each of `words` differently mixed hashes, as signed numbers."""
+    out = []
+    for k in range(words):
+        total = np.zeros(64, np.int64)
+        for at in range(0, len(shingles), block):
+            total += _bit_counts(_mix(shingles[at : at + block] + np.uint64((k * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))))
+        out.append(int(np.packbits(total * 2 > len(shingles), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _differ(similarity: float) -> float:
+    """The chance that a bit differs between two sets of one size and that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def bit_tables(n: int, similarity: float, words: int = WIDE, seed: int = SEED, spare: int = 3, meet: float = MEET) -> list[list[int]]:
+    """Masks over the words of a wide fingerprint: each takes so many bits that n unrelated fingerprints meet
+    2^-spare others in its cell, and there are so many masks that a pair at the similarity meets in one with probability `meet`."""
+    bits = min(48, max(6, math.ceil(math.log2(max(2, n))) + spare))
+    count = math.ceil(math.log(1 - meet) / math.log1p(-((1 - _differ(similarity)) ** bits)))
+    rng, out = random.Random(seed), []
+    for _ in range(count):
+        masks = [0] * words
+        for b in rng.sample(range(64 * words), bits):
+            masks[b // 64] |= 1 << (b % 64)
+        out.append(list(map(_signed, masks)))
+    return out
+
+
+def _cells(bits: str, tables: list[list[int]], *more: Column) -> Column:
+    """The cells of a wide fingerprint, one for each table."""
+    masks = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(m).alias(f"m{i}") for i, m in enumerate(t)]) for k, t in enumerate(tables)])
+    return F.transform(masks, lambda t: F.xxhash64(*more, t["k"], *[F.col(bits)[i].bitwiseAND(t[f"m{i}"]) for i in range(len(tables[0]))]))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, carry: tuple[str, ...] = (), meet: float = MEET, broadcast_rows: int = 1 << 20) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, component_id, label: one row per row of docs. Texts link whose sets of
+    `width`-word shingles (A-Z in lower case) have a Jaccard similarity of at least `similarity`.
+
+    A SimHash of 256 bits embeds a text; segments here are single bits, so the Manhattan distance of two embeddings is the
+    fingerprints' Hamming distance. Cells of a grid are chosen bits; their number and that of the grids follow the number of texts and
+    the similarity, so that a pair at the similarity itself meets in some cell with probability `meet`, closer pairs more surely. Pairs that
+    meet within the distance of three standard deviations are verified on their whole sets of shingle hashes. Links are thus never
+    false, and a share 1 - meet of those at the very threshold may be missed unless others tie the texts.
+
+    component_id is the smallest doc_id of a component, label a number that only its rows share. Texts of the same words are one node; a
+    null text counts as empty, and texts without words are alike. Texts with fewer than width words are one shingle. Rows that repeat an
+    id each get a row; a null doc_id becomes a component_id only where all of the component is null. carry
+    names columns that are returned as well; others are ignored. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+
+    @F.pandas_udf("key binary, bits array<bigint>")
+    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [shingle_set(t or "", width) for t in texts]
+            yield pd.DataFrame({"key": [k for k, _ in found], "bits": [wide_fingerprint(s) for _, s in found]})
+
+    keys = docs.select("doc_id", wide("text").alias("found"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("place"), *carry)
+    keys = cut(keys.select("doc_id", F.col("found.key").alias("key"), F.col("found.bits").alias("bits"), "place", *carry))
+    nodes = keys.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("place").alias("place"), F.any_value("bits").alias("bits"), F.count("*").alias("rows"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    prints = nodes.select("node", "bits")
+    count = nodes.count()
+    tables = bit_tables(count, similarity, meet=meet)
+    cells = _dealt(prints, len(tables), "node").select("node", F.explode(_cells("bits", tables)).alias("cell"))
+    expected = _differ(similarity) * 64 * WIDE
+    radius = math.ceil(expected + 3 * math.sqrt(expected * (1 - _differ(similarity))))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        found = pairs.distinct()
+        for side in "ab":
+            found = found.join(prints.select(F.col("node").alias(side), F.col("bits").alias(f"{side}_bits")), side)
+        distance = sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(WIDE)), F.lit(0))
+        return found.withColumn("d", distance).where(F.col("d") <= radius).select("a", "b", "d")
+
+    def refine(large: DataFrame, largest: int) -> DataFrame:
+        finer = bit_tables(largest, similarity, seed=SEED + 1, meet=meet)
+        return large.join(prints, "node").select("node", "comp", F.explode(_cells("bits", finer, F.col("cell"))).alias("cell"))
+
+    @F.pandas_udf("key binary, shingles array<bigint>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [shingle_set(t or "", width) for t in texts]
+            yield pd.DataFrame({"key": [k for k, _ in found], "shingles": [s.view(np.int64) for _, s in found]})
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.select("a", "b"))
+        wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("pairs")))
+        wanted = wanted.join(nodes.select("node", "key", "place"), "node")
+        texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.xxhash64("text"))
+        some = wanted.select("place").distinct()
+        if wanted.count() <= broadcast_rows:
+            some = F.broadcast(some)  # a number for each, broadcast_rows of them at most
+        texts = texts.join(some, "place", "left_semi").groupBy("place", "text").agg(F.lit(1).alias("one"))
+        found = texts.select(sets("text").alias("found")).select("found.*").dropDuplicates(["key"])
+        found = cut(wanted.join(found, "key").select("node", "pairs", "shingles"))
+        both = pairs
+        for side in "ab":
+            both = spread_join(both, found.select(F.col("node").alias(side), "pairs", F.col("shingles").alias(f"{side}_set")), [side], "pairs")
+        common = F.size(F.array_intersect("a_set", "b_set"))
+        return both.where(common >= similarity * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
+
+    labels = _links(cells, close, verify, refine)
+    named = _lowest(nodes.select("node", "key", "first_id", "rows"), labels, "node").select("key", "label", "component_id", "rows")
+    return spread_join(keys.drop("bits", "place"), named, ["key"], "rows").select("doc_id", "component_id", "label", *carry)

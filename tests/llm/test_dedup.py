@@ -107,8 +107,9 @@ def test_embedding_bounds_the_distance(spark):
     assert [r.l1 for r in both] == [sum(abs(x - y) for x, y in zip(counts(a & (2**64 - 1)), counts(b & (2**64 - 1)), strict=True)) for a, b in pairs]
 
 
-@pytest.mark.parametrize("groups", [6, 8])
-def test_components_of_clusters(spark, groups):
+@pytest.mark.parametrize(("groups", "large"), [(6, 64), (8, 64), (None, 64), (6, 3)])
+def test_components_of_clusters(spark, monkeypatch, groups, large):
+    monkeypatch.setattr(simhash, "LARGE_CELL", large)  # with 3, most cells are cut up further
     rng = random.Random(4)
     prints = []
     for _ in range(12):
@@ -132,6 +133,125 @@ def test_components_of_clusters(spark, groups):
     assert sorted(map(sorted, same.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_chance_meetings_stay_in_proportion():
+    """Rows of cells and expected chance pairs, per fingerprint, by the grid that a number of them gets."""
+    import math
+
+    def cost(n):
+        g = simhash.grid_groups(n)
+        return math.comb(g, 4) * (1 + 4 * n * 0.375 ** (32 * (g - 4) / g))
+
+    assert cost(10**6) < 2.2 * cost(10**5) and cost(10**9) < 40 * cost(10**5)
+    assert simhash.grid_groups(10) < simhash.grid_groups(10**9)
+
+
+def test_large_unrelated_cells_are_cut_up(spark, monkeypatch):
+    """Fingerprints that share the coordinates of a cell and are otherwise unrelated: joined rows grow with their number, not its square."""
+    seen = []
+    mixed = simhash._mixed
+    monkeypatch.setattr(simhash, "_mixed", lambda tagged: seen.append(out := mixed(tagged)) or out)
+    pairs = {}
+    for n in (400, 1600):
+        rng, seen[:] = random.Random(8), []
+        prints = {rng.getrandbits(32) for _ in range(n)}  # the upper half of all is zero
+        simhash.fingerprint_components(spark.createDataFrame([(p,) for p in prints], "fp long"), groups=8).count()
+        finer = seen[-1]
+        assert len(seen) == 2
+        pairs[n] = finer.groupBy("cell").agg((F.count("*") * F.count_if(F.col("comp") != F.col("main"))).alias("p")).agg(F.sum("p")).first()[0] or 0
+    assert pairs[1600] < 1600 * 16
+
+
+def brute_similar(rows, similarity=0.8, width=5):
+    sets = {}
+    for _, t in rows:
+        words = tuple(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").translate(LOWER).encode()))
+        sets[words] = {words[k : k + width] for k in range(max(1, len(words) - width + 1))} if words else set()
+    nodes = list(sets)
+    root = {w: w for w in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(nodes):
+        for b in nodes[k + 1 :]:
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    out = defaultdict(list)
+    for i, t in rows:
+        out[find(tuple(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").translate(LOWER).encode())))].append(i)
+    return out
+
+
+def similar_rows():
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(400)]
+    rows = []
+    for _ in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(40, 300))]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 8, 40])):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_similar_documents_against_all_pairs(spark):
+    rows = similar_rows()
+    want = brute_similar(rows)
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    mine = defaultdict(list)
+    for r in got:
+        mine[r.label].append(r.doc_id)
+    assert all(r.component_id == min(mine[r.label]) for r in got) and len(got) == len(rows)
+    whole = {i: frozenset(g) for g in want.values() for i in g}
+    assert all(len({whole[i] for i in g}) == 1 for g in mine.values())  # no link is false
+    links = sum(len(g) - 1 for g in want.values())
+    assert links > 60 and sum(len(g) - 1 for g in mine.values()) >= 0.95 * links
+
+
+def test_similar_documents_when_cells_are_large(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE_CELL", 4)
+    rows = similar_rows()[:90] + [(1000 + k, "one common text of several words that many rows repeat " + "x" * (k % 2)) for k in range(400)]
+    want = brute_similar(rows)
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_rows=0)
+    links = sum(len(g) - 1 for g in want.values())
+    assert len(rows) - got.select("label").distinct().count() >= 0.95 * links
+
+
+def test_similar_odd_rows(spark):
+    got = simhash.similar_documents(odd(spark), carry=("text",))
+    assert got.columns == ["doc_id", "component_id", "label", "text"]
+    want = brute_similar([(i, t) for i, t, _ in ODD])
+    lowest = {w: min((i for i in g if i is not None), default=None) for w, g in want.items()}
+    due = sorted(((i, lowest[w]) for w, g in want.items() for i in g), key=repr)
+    assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=repr) == due
+    assert simhash.similar_documents(empty(spark)).count() == 0
+
+
+def test_words_across_blocks(monkeypatch):
+    """A word's hash does not depend on where blocks end."""
+    rng = random.Random(10)
+    for size in (1, 3, 7):
+        texts = [bytes(rng.choice(b"ab \n") for _ in range(rng.randint(0, 30))) for _ in range(100)]
+        want = [simhash.word_hashes(t).tolist() for t in texts]
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "BLOCK", size)
+            assert [simhash.word_hashes(t).tolist() for t in texts] == want
+        assert [len(w) for w in want] == [len(t.split()) for t in texts]
+
+
+def test_hot_groups_are_joined_whole(spark):
+    from nearfield.llm.common import spread_join
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    got = spread_join(rows, groups, ["k"], "n")
+    assert sorted(map(tuple, got.collect())) == sorted((r.k, r.id, r.k) for r in rows.collect())
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100)] + [(1000, 2000 + k) for k in range(300)] + [(5, 5), (7, 6)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
