@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import shared_folder
+from nearfield.llm.common import cut, shared_folder, spread_join
 
 SEGMENT_BYTES = 1 << 16
 HTTP_CHUNK = 1 << 13
@@ -74,11 +74,15 @@ def page_records(page_id: int | None, row: int, url: str | None, payload: bytes,
 
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, payload, digest, refers_to: the smallest page_id of an
-    equal payload of at least `least` bytes, null for that page itself and for all others."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    firsts = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
+    equal payload of at least `least` bytes, null for that page itself and for all others. Smaller payloads, empty ones
+    among them, stay where they are; pages of a common payload are dealt to many tasks."""
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    names = ["page_id", "url", "payload", "digest"]
+    small = rows.where(F.octet_length("payload") < least).withColumn("digest", F.sha2("payload", 256)).select(*names, F.lit(None).cast("long").alias("refers_to"))
+    large = rows.where(F.octet_length("payload") >= least).withColumn("digest", F.sha2("payload", 256))
+    firsts = cut(large.groupBy("digest").agg(F.min(F.col("page_id").cast("long")).alias("first"), F.count("*").alias("n")))
     other = ~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull()
-    return rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
+    return small.unionByName(spread_join(large, firsts, ["digest"], "n").select(*names, F.when(other, F.col("first")).alias("refers_to")))
 
 
 def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", segment: int = SEGMENT_BYTES, per_file: int = RECORDS_PER_FILE) -> None:
@@ -176,10 +180,11 @@ def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """record_id, type, uri, payload_digest, refers_to, payload, payload_bytes for each response and revisit in a folder of
-    archives. Records in segments are grouped by their origin, ordered by number and checked against the
+    archives; other records (warcinfo, request, metadata ...) are passed over. An archive is read by one task and must be smaller than 2 GB, Spark's
+    limit for one value. Records in segments are grouped by their origin, ordered by number and checked against the
     total length; only those are shuffled. Chunked framing is taken off. A revisit's payload is null; its
     payload_bytes are what its header says."""
-    raw = raw_records(spark, path)
+    raw = raw_records(spark, path).where(F.col("type").isin("response", "revisit", "continuation"))
     kept = ["record_id", "type", "uri", "payload_digest", "refers_to"]
     schema = "record_id string, type string, uri string, payload_digest string, refers_to string, payload binary, payload_bytes long"
 
@@ -198,7 +203,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     cut_up = raw.where("segment > 0").withColumn("origin", F.coalesce("origin", "record_id"))
     first = [F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in kept]
     grouped = cut_up.groupBy("origin").agg(*first, F.max("total").alias("total"), F.collect_list(F.struct("segment", "block")).alias("parts"))
-    return whole.unionByName(grouped.select(*kept, "total", "parts").mapInPandas(joined, schema))
+    return whole.unionByName(grouped.where("type IS NULL OR type = 'response'").select(*kept, "total", "parts").mapInPandas(joined, schema))
 
 
 def archive_report(pages: DataFrame, folder: str | None = None) -> DataFrame:

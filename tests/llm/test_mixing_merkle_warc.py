@@ -52,6 +52,69 @@ def test_mix_is_the_same_each_time(spark):
     assert all(0 <= r.place <= 1 for r in a.collect())
 
 
+def spark_hash(*values):
+    """XXH64 of values one after the other, each seeded by the one before: what Spark's xxhash64 gives for 4-byte and 8-byte numbers and strings."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for kind, v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<i" if kind == "i" else "<q", v), h)
+    return h if h < 2**63 else h - 2**64
+
+
+def unit(*values):
+    return (spark_hash(*values) & (2**53 - 1)) / 2**53
+
+
+def test_readings_by_brute_force(spark, monkeypatch):
+    """Weights in closed form, blocks in their permuted order, and rows of the last block, recomputed without the operator."""
+    rows = corpus(5, 900)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(docs, mixing.Target(2.0), blocks=8).collect()}
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    most, least = max(sizes.values()), min(sizes.values())
+    exponent = max(0.0, 1 - math.log(2) / math.log(most / least))  # the least source is read twice, the largest once
+    powers = {s: n**exponent for s, n in sizes.items()}
+    for source in sizes:
+        mine = [(i, len(t.split()), spark_hash(("s", t))) for i, t, s in rows if s == source]
+        repeats = round((most / sizes[source]) ** (1 - exponent), 9)
+        whole, budget = int(repeats), (repeats - int(repeats)) * sizes[source]
+        blocks = defaultdict(list)
+        for i, n, h in mine:
+            blocks[spark_hash(("i", 42), ("l", i), ("l", h)) % 8].append((i, n, h))
+        extra, before = set(), 0
+        for _, b in sorted((unit(("i", 42), ("s", source), ("i", whole + 1), ("i", b)), b) for b in blocks):
+            size = sum(n for _, n, _ in blocks[b])
+            if before + size <= budget:
+                extra |= {i for i, _, _ in blocks[b]}
+            elif before < budget:
+                at = 0
+                for _, i, n in sorted((unit(("i", 42), ("i", whole + 1), ("l", i), ("l", h)), i, n) for i, n, h in blocks[b]):
+                    if at + n / 2 <= budget - before:
+                        extra.add(i)
+                    at += n
+            before += size
+        assert {i: got[i].copies for i, _, _ in mine} == {i: whole + (i in extra) for i, _, _ in mine}
+        assert all(abs(got[i].weight - powers[source] / sum(powers.values())) < 1e-9 for i, _, _ in mine)
+
+
+def test_blocks_follow_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_BLOCK", 10)
+    docs = spark.createDataFrame(corpus(6, 300), "doc_id long, text string, source string")
+    assert sum(r.copies for r in mixing.mix(docs, blocks=1).collect()) >= 300
+
+
+def test_alike_rows_are_read_as_often_as_planned(spark):
+    rows = [(1, "a b c", "s")] * 7 + [(k, "a b c d e f", "t") for k in range(2, 40)] + [(None, "x", "s")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = sum(r.copies for r in mixing.mix(docs, mixing.Target(1.7)).collect())
+    assert mixing.mixed_documents(docs, mixing.Target(1.7)).count() == planned
+
+
 def test_mix_odd_rows(spark):
     got = mixing.mix(odd(spark)).collect()
     assert len(got) == len(ODD) and all(r.copies >= 1 for r in got)
@@ -105,6 +168,25 @@ def test_edits_of_random_texts(spark):
     assert len({p for p, _ in prints}) == len({t for _, t in prints}) == len(prints)  # one to one
 
 
+@pytest.mark.parametrize("most_cuts", [1, 3, 2048])
+def test_next_in_few_and_many_ranges(spark, most_cuts):
+    """Skewed ids, a hot id, and rows without one, in every division into ranges and buckets."""
+    rows = [(2**k, f"text {k}") for k in range(60)] + [(77, f"hot {k}") for k in range(150)] + [(None, f"unnamed {k}") for k in range(90)] + [(-(3**k), f"below {k}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r.doc_id, r.text, r.next_text) for r in merkle.with_next(docs, rows_per_bucket=7, most_cuts=most_cuts).collect()]
+    assert sorted(r[1] for r in got) == sorted(r[1] for r in rows) == sorted(r[2] for r in got)
+    ids = dict((t, i) for i, t in rows)
+    low = float("-inf")
+    wraps = sum((low if i is None else i) < (low if ids[after] is None else ids[after]) for i, _, after in got)
+    assert wraps == 1  # one line through all rows, by descending id
+    follow = {t: after for _, t, after in got}
+    seen, at = set(), rows[0][1]
+    while at not in seen:
+        seen.add(at)
+        at = follow[at]
+    assert len(seen) == len(rows)
+
+
 def test_trees_against_sql(spark):
     rows = [(k, ("Paragraph number %d of some text. " % (k % 7)) * (k % 9) + "\n" * (k % 3) + "tail") for k in range(60)]
     duckdb.sql("CREATE OR REPLACE TABLE documents (doc_id BIGINT, text VARCHAR)")
@@ -188,6 +270,14 @@ def test_archive_of_nothing(spark):
     assert warc.archive_report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_other_records_are_passed_over(spark, tmp_path):
+    info = warc._record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:i>")], b"software: x") + b"\r\n\r\n"
+    request = warc._record([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:r>"), ("WARC-Segment-Number", 1)], b"GET / HTTP/1.1\r\n\r\n") + b"\r\n\r\n"
+    (page,) = warc.page_records(1, 0, "u", b"hello", "0" * 64, None, "2024-01-01T00:00:00Z", 1 << 16)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(info + request) + gzip.compress(page + b"\r\n\r\n"))  # a member for each is read as well
+    assert [(r.type, bytes(r.payload)) for r in warc.read_warc(spark, str(tmp_path)).collect()] == [("response", b"hello")]
+
+
 def test_broken_archives_are_errors():
     good = warc._record([("WARC-Type", "response")], b"abc") + b"\r\n\r\n"
     assert [b for _, b in warc.parse(io.BytesIO(good * 2))] == [b"abc", b"abc"]
