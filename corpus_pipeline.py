@@ -39,9 +39,9 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, one row with the smallest id stays, of those without any id one row. Links are those of operator 5's query
-    (four words, 4 bits), which leaves most pairs of a Jaccard similarity of 0.8 in the corpus: see the README."""
-    found = simhash.near_duplicates(docs.withColumn("text_key", _text_key()), carry=("text_key",))
+    """Of documents that are near copies, one row with the smallest id stays, of those without any id one row. Near copies are texts whose
+    sets of five-word shingles have a Jaccard similarity of at least 0.8, and what such links tie together."""
+    found = simhash.similar_documents(docs.withColumn("text_key", _text_key()), similarity=0.8, width=5, carry=("text_key",))
     texts = found.groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("rows"))
     first = texts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "rows")).alias("first"))
     return _only(docs, first.groupBy("first.doc_id", "first.text_key").agg(F.max("first.rows").alias("rows")))
