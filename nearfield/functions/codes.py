@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 from nearfield.functions.distance import as_column
 
 
+def _finite(x: Column) -> Column:
+    """x, with an error where it is null, NaN or infinite."""
+    good = x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+    return F.when(good, x).otherwise(F.raise_error(F.lit("not a finite number in a vector")))
+
+
 def int8_code(vector: str | Column) -> Column:
-    """Components times 127, rounded half away from zero and held within -127 and 127."""
-    return F.transform(as_column(vector), lambda x: F.greatest(F.least(F.round(x.cast("double") * 127), F.lit(127.0)), F.lit(-127.0)).cast("tinyint"))
+    """Components times 127, rounded half away from zero and held within -127 and 127. Null, NaN and infinity are an error."""
+    return F.transform(F.transform(as_column(vector), _finite), lambda x: F.greatest(F.least(F.round(x.cast("double") * 127), F.lit(127.0)), F.lit(-127.0)).cast("tinyint"))
 
 
 def int8_scaled_code(vector: str | Column, scales: str | Column) -> Column:
@@ -32,7 +38,7 @@ def dimension_scales(vectors: DataFrame, share: float = 0.999, least: float = 1e
     """vectors(embedding) -> pos, scale: for each dimension the absolute value at rank floor(n * share)
     (from 0, n - 1 at most), never under `least`. percentile() counts equal values before the
     shuffle, and asked at rank / (n - 1) it lands on an element."""
-    values = vectors.select(F.posexplode("embedding").alias("pos", "x")).select("pos", F.abs(F.col("x").cast("double")).alias("a"))
+    values = vectors.select(F.posexplode(F.transform("embedding", _finite)).alias("pos", "x")).select("pos", F.abs(F.col("x").cast("double")).alias("a"))
     n = vectors.count()
     at = min(int(n * share), n - 1) / (n - 1) if n > 1 else 0.0
     return values.groupBy("pos").agg(F.greatest(F.percentile("a", F.lit(at)), F.lit(least)).alias("scale"))

@@ -69,9 +69,9 @@ def normalized(a: str | Column) -> Column:
 
 
 def valid(vector: str | Column, dim: int) -> Column:
-    """Whether a vector has dim numbers, none of them null or NaN."""
+    """Whether a vector has dim numbers, none of them null, NaN or infinite."""
     v = as_column(vector)
-    return F.coalesce((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+    return F.coalesce((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
 
 
 def probit(p: str | Column) -> Column:

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance as D
-from nearfield.operators.knn import over_blocks
+from nearfield.operators.knn import SLICE_QUERIES, checked, over_blocks
 
 BINS, STEP = 5, 0.001
 
 
 def dimension_stats(vectors: DataFrame) -> DataFrame:
     """vectors(embedding) -> pos, mean, variance (of the sample) of the normalised components. One vector has no variance, an error."""
-    rows = vectors.select(F.posexplode(D.normalized("embedding")).alias("pos", "x"))
+    rows = checked(vectors).select(F.posexplode(D.normalized("embedding")).alias("pos", "x"))
     found = rows.groupBy("pos").agg(F.avg("x").alias("mean"), F.var_samp("x").alias("variance"))
     return found.withColumn("variance", F.coalesce("variance", F.raise_error(F.lit("statistics need two vectors")).cast("double")))
 
@@ -48,13 +48,15 @@ def difficulty(vectors: DataFrame, queries: DataFrame, params: DataFrame) -> Dat
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, n = np.zeros((len(qids), BINS), np.int64), 0
             for batch in batches:
-                d = D.block_distance("cosine", qs, np.stack(batch["embedding"]).astype(np.float64))
-                at_most = np.stack([(d <= limits[:, [i]]).sum(1) for i in range(BINS)], 1)
-                total += np.diff(at_most, axis=1, prepend=0)
+                block = np.stack(batch["embedding"]).astype(np.float64)
+                for a in range(0, len(qids), SLICE_QUERIES):
+                    d, ends = D.block_distance("cosine", qs[a : a + SLICE_QUERIES], block), limits[a : a + SLICE_QUERIES]
+                    at_most = np.stack([(d <= ends[:, [i]]).sum(1) for i in range(BINS)], 1)
+                    total[a : a + SLICE_QUERIES] += np.diff(at_most, axis=1, prepend=0)
                 n += len(batch)
             yield pd.DataFrame({"qid": qids, "counts": list(total), "n": n})
 
-        return vectors.select("embedding").mapInPandas(count, "qid long, counts array<long>, n long")
+        return checked(vectors, qs.shape[1]).select("embedding").mapInPandas(count, "qid long, counts array<long>, n long")
 
     found = over_blocks(queries, near, "qid long, counts array<long>, n long")
     sums = found.groupBy("qid").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(BINS)], F.sum("n").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Callable, Iterator
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance as D
-from nearfield.operators.knn import knn, over_blocks, top
+from nearfield.operators.knn import checked, knn, over_blocks, top
+from nearfield.operators.layout import PageCache
+from nearfield.operators.pq import tables
 
 #: Vectors of a shard: one task builds or searches it, in memory of about that many rows.
 SHARD_ROWS = 50_000
@@ -195,7 +198,7 @@ def with_shard(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 def nsw_build(vectors: DataFrame, metric: str = "cosine", m_max: int = 32, ef_construction: int = 100, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vectors(vec_id, embedding) -> graph(shard, vec_id, embedding, nbrs): every vector is in it, each shard a graph
-    of its own, built in order of vec_id, so the result is the same each time."""
+    of its own, built in order of vec_id, so the result is the same each time. Bad vectors are an error."""
     metric = D.metric_name(metric)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -206,7 +209,7 @@ def nsw_build(vectors: DataFrame, metric: str = "cosine", m_max: int = 32, ef_co
         links = build_shard(np.stack(group["embedding"]).astype(np.float64), metric, m_max, ef_construction)
         return group[["shard", "vec_id", "embedding"]].assign(nbrs=[ids[x] for x in links])
 
-    return with_shard(vectors.select("vec_id", "embedding"), shard_rows).groupBy("shard").applyInPandas(build, "shard int, vec_id long, embedding array<float>, nbrs array<long>")
+    return with_shard(checked(vectors.select("vec_id", "embedding")), shard_rows).groupBy("shard").applyInPandas(build, "shard int, vec_id long, embedding array<float>, nbrs array<long>")
 
 
 def hubs(degrees: np.ndarray, count: int = 64) -> list[int]:
@@ -216,19 +219,22 @@ def hubs(degrees: np.ndarray, count: int = 64) -> list[int]:
 
 RESULT = "qid long, vec_id long, distance double"
 METRICS = "qid long, shard int, expansions long, useful long, wasted long, distance_computes long, redirected long, stopped_early boolean"
+PAGE_METRICS = METRICS + ", hits long, misses long"
 TRACE = "qid long, shard int, step int, vid long, parent long"
 
 
-def search_graph(graph: DataFrame, queries: DataFrame, k: int, search: Search = Search(), metric: str = "cosine", entries: int = 64, output: str = "result", proxy: bool = False, resident_degree: int = 0) -> DataFrame:
+def search_graph(graph: DataFrame, queries: DataFrame, k: int, search: Search = Search(), metric: str = "cosine", entries: int = 64, output: str = "result", proxy: bool = False, resident_degree: int = 0, book: np.ndarray | None = None, cache_slots: int = 0) -> DataFrame:
     """graph as nsw_build gives it, queries(qid, qvec) -> by output: `result` (qid, vec_id, distance, rank), `metrics` (counters
-    for each query and shard) or `trace` (each expansion with its parent).
+    for each query and shard), `page_metrics` (with the cache's hits and misses) or `trace` (each expansion with its parent).
 
     A task searches one shard for all queries; the k nearest of each shard meet in a window. The three
-    outputs come from the same search, so tracing changes no result. With proxy, gating goes by int8 codes.
-    resident_degree: nodes with so many links count as resident for Search.prefer.
+    outputs come from the same search, so tracing changes no result. With proxy, gating goes by int8 codes, with book
+    by the lookup of product codes in graph's column `code`. resident_degree: nodes with so many links count as resident for
+    Search.prefer. cache_slots: expansions read graph's column `page_id` through a simulated cache of so many pages, cold for each query,
+    and nodes whose page it holds are resident.
     """
     metric = D.metric_name(metric)
-    schema = {"result": RESULT, "metrics": METRICS, "trace": TRACE}[output]
+    schema = {"result": RESULT, "metrics": METRICS, "page_metrics": PAGE_METRICS, "trace": TRACE}[output]
 
     def scan(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
         def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -237,18 +243,32 @@ def search_graph(graph: DataFrame, queries: DataFrame, k: int, search: Search =
             links = [np.searchsorted(ids, np.asarray(x, np.int64)) for x in group["nbrs"]]
             degrees = np.array([len(x) for x in links])
             start, codes, rows, score = hubs(degrees, entries), np.clip(np.round(data * 127), -127, 127), [], kernel(metric, data)
+            coded = np.stack(group["code"]).astype(np.int64) if book is not None else None
+            pages = group["page_id"].to_numpy(np.int64) if cache_slots else None
             for qid, q in zip(qids.tolist(), qs, strict=True):
-                own = np.clip(np.round(q * 127), -127, 127)
-                f = beam_search(
-                    links.__getitem__, score(q), start, search, len(ids),
-                    (lambda at, own=own: -(codes[at] @ own)) if proxy else None, (lambda v: degrees[v] >= resident_degree) if resident_degree else None,
-                )
+                own, gate, resident, read, cache = np.clip(np.round(q * 127), -127, 127), None, None, links.__getitem__, None
+                if book is not None:
+                    lut = tables(q[None], book)[0]
+                    gate = lambda at, lut=lut: lut[np.arange(len(lut)), coded[at]].sum(1)
+                elif proxy:
+                    gate = lambda at, own=own: -(codes[at] @ own)
+                if cache_slots:
+                    cache = PageCache(cache_slots)
+                    resident = lambda v, cache=cache: cache.holds(int(pages[v]))
+
+                    def read(v: int, cache: PageCache = cache) -> np.ndarray:
+                        cache.read(int(pages[v]))
+                        return links[v]
+                elif resident_degree:
+                    resident = lambda v: degrees[v] >= resident_degree
+                f = beam_search(read, score(q), start, search, len(ids), gate, resident)
                 if output == "result":
                     near = np.array([v for _, v in f.results[:k]], np.int64)
                     exact = D.exact_distance(metric, np.repeat(q[None], len(near), 0), data[near]) if len(near) else np.zeros(0)
                     rows += zip([qid] * len(near), ids[near].tolist(), exact.tolist(), strict=True)
-                elif output == "metrics":
-                    rows.append((qid, int(group["shard"][0]), len(f.expanded), f.useful, len(f.expanded) - f.useful, f.computed, f.redirected, f.stopped))
+                elif output in ("metrics", "page_metrics"):
+                    seen = (cache.hits if cache else 0, cache.misses if cache else 0) if output == "page_metrics" else ()
+                    rows.append((qid, int(group["shard"][0]), len(f.expanded), f.useful, len(f.expanded) - f.useful, f.computed, f.redirected, f.stopped, *seen))
                 else:
                     rows += [(qid, int(group["shard"][0]), k_, int(ids[v]), int(ids[p]) if p >= 0 else -1) for k_, (v, p) in enumerate(f.expanded)]
             return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
@@ -269,7 +289,7 @@ def knn_graph(vectors: DataFrame, k: int = 16, metric: str = "cosine") -> DataFr
 def prune(edges: DataFrame, vectors: DataFrame, m: int = 8, metric: str = "cosine") -> DataFrame:
     """edges(src, dst, distance) -> the diverse choice of each source's neighbours, pos from 1."""
     metric = D.metric_name(metric)
-    rich = edges.join(vectors.select(F.col("vec_id").alias("dst"), "embedding"), "dst")
+    rich = edges.join(checked(vectors).select(F.col("vec_id").alias("dst"), "embedding"), "dst")
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["distance", "dst"]).reset_index(drop=True)
@@ -297,15 +317,16 @@ def entry_set(degree: DataFrame, count: int = 64) -> DataFrame:
 
 
 def bfs_levels(edges: DataFrame, start: DataFrame, cut: Callable[[DataFrame], DataFrame], most: int = 1000) -> DataFrame:
-    """edges(src, dst), start(vec_id) -> vec_id, level for what is reached: a frontier join a level, each cut."""
-    seen = front = cut(start.select("vec_id", F.lit(0).alias("level")))
-    for level in range(1, most):
-        near = front.join(edges, front.vec_id == edges.src).select(F.col("dst").alias("vec_id")).distinct()
-        front = cut(near.join(seen, "vec_id", "left_anti").withColumn("level", F.lit(level)))
-        if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
-    return seen
+    """edges(src, dst), start(vec_id) -> vec_id, level for what is reached: a frontier join a level. Each level is written once and
+    appended; a graph with more than `most` levels is an error."""
+    levels = [cut(start.select("vec_id", F.lit(0).alias("level")).distinct())]
+    while not levels[-1].isEmpty():
+        if len(levels) > most:
+            raise ValueError(f"more than {most} levels")
+        near = levels[-1].join(edges, F.col("vec_id") == F.col("src")).select(F.col("dst").alias("vec_id")).distinct()
+        seen = functools.reduce(DataFrame.unionByName, levels)
+        levels.append(cut(near.join(seen, "vec_id", "left_anti").withColumn("level", F.lit(len(levels)))))
+    return functools.reduce(DataFrame.unionByName, levels)
 
 
 def with_neighbor_codes(graph: DataFrame, codes: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from nearfield.functions import distance as D
 #: Bytes of queries that one pass over the vectors takes along; more queries take more passes.
 QUERY_BYTES = 64 << 20
 FEW = 512
+#: Numbers that a slice of exact distances holds, about; queries that a slice of a full matrix takes.
+SLICE, SLICE_QUERIES = 1 << 22, 512
 
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -26,7 +28,7 @@ def queries_from(vectors: DataFrame, every: int = 100) -> DataFrame:
 def query_blocks(queries: DataFrame, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """queries(qid, qvec) as arrays in order of qid, in as many parts as the limit (QUERY_BYTES) asks for; none for no
     queries. A few queries come in one job."""
-    asked = queries.select("qid", "qvec")
+    asked = checked(queries.select("qid", "qvec"), None, "qvec", "qid")
     few = asked.limit(FEW + 1).toPandas()
     if not len(few):
         return
@@ -55,6 +57,30 @@ def _nearest(held: list[np.ndarray], ids: np.ndarray, distances: np.ndarray, k:
     held[0], held[1] = np.take_along_axis(ids, order, 1), np.take_along_axis(distances, order, 1)
 
 
+def _candidates(part: np.ndarray, block: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int, exact: Kernel) -> tuple[np.ndarray, np.ndarray]:
+    """Per query the rows whose rough distance lies within rounding of the k-th, ties too, with their exact distances. Where ties are
+    many, a query's are scored in slices and its k best kept."""
+    kth = np.partition(d, k - 1, axis=1)[:, [k - 1]]
+    close = d <= kth + 1e-9 * (1 + np.abs(np.where(np.isinf(kth), 0, kth)))
+    count = close.sum(1)
+    few = 4 * k + 16
+    m = int(count[count <= few].max(initial=k))
+    near = np.argpartition(d, m - 1, axis=1)[:, :m]
+    fine = np.empty(near.shape)
+    step = max(1, SLICE // max(1, m * block.shape[1]))
+    for a in range(0, len(part), step):
+        some = near[a : a + step]
+        fine[a : a + step] = exact(np.repeat(part[a : a + step], m, 0), block[some.ravel()]).reshape(some.shape)
+    for q in np.flatnonzero(count > few):
+        at, step = np.flatnonzero(close[q]), max(1, SLICE // block.shape[1])
+        scored = np.concatenate([exact(np.repeat(part[[q]], len(x), 0), block[x]) for x in (at[a : a + step] for a in range(0, len(at), step))])
+        best = np.lexsort((ids[at], scored))[:k]
+        near[q], fine[q] = at[best[0]], np.inf
+        near[q, : len(best)], fine[q, : len(best)] = at[best], scored[best]
+    fine[np.isinf(np.take_along_axis(d, near, 1))] = np.inf
+    return near, fine
+
+
 def scan_topk(codes: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int, rough: Kernel, exact: Kernel, no_self: bool = False) -> DataFrame:
     """codes(vec_id, code) against all queries, a block at a time: rough distances by one matrix product choose
     the candidates (all that lie within rounding of the k-th, ties too), exact ones rank
@@ -69,11 +95,7 @@ def scan_topk(codes: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int, r
                 d = rough(part, block)
                 if no_self:
                     d[qids[a : a + 512, None] == ids[None]] = np.inf
-                kth = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, [min(k, len(ids)) - 1]]
-                m = int((d <= kth + 1e-9 * (1 + np.abs(np.where(np.isinf(kth), 0, kth)))).sum(1).max())
-                near = np.argpartition(d, m - 1, axis=1)[:, :m]
-                fine = exact(np.repeat(part, m, 0), block[near.ravel()]).reshape(near.shape)
-                fine[np.isinf(np.take_along_axis(d, near, 1))] = np.inf
+                near, fine = _candidates(part, block, ids, d, min(k, len(ids)), exact)
                 mine = [h[a : a + 512] for h in held]
                 _nearest(mine, ids[near], fine, k)
                 if a == 0:
@@ -112,10 +134,13 @@ def over_blocks(queries: DataFrame, scan: Callable[[np.ndarray, np.ndarray], Dat
     return queries.sparkSession.createDataFrame([], schema) if found is None else found
 
 
-def checked(vectors: DataFrame, dim: int) -> DataFrame:
-    """vectors, with an error where a row isn't a vector of that length."""
-    broken = F.raise_error(F.concat(F.lit("not a vector of the expected length: "), F.coalesce(F.col("vec_id").cast("string"), F.lit("null"))))
-    return vectors.withColumn("embedding", F.when(D.valid("embedding", dim), F.col("embedding")).otherwise(broken))
+def checked(vectors: DataFrame, dim: int | None = None, column: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """vectors, with an error where a row isn't a vector of that length (by default the first row's) with finite numbers."""
+    if dim is None:
+        first = vectors.select(column).first()
+        dim = len(first[0]) if first and first[0] is not None else 0
+    broken = F.raise_error(F.concat(F.lit("not a vector of the expected length: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return vectors.withColumn(column, F.when(D.valid(column, dim), F.col(column)).otherwise(broken))
 
 
 def int8_knn(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -127,25 +152,32 @@ def int8_knn(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def refine(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, score: Callable[[Column, Column], Column], column: str = "embedding") -> DataFrame:
     """candidates(qid, vec_id, ...) scored anew by a dearer distance over column -> the k nearest. Both joins are
-    on keys; only the candidates' vectors take part."""
-    pairs = candidates.select("qid", "vec_id").join(vectors.select("vec_id", F.col(column).alias("v")), "vec_id").join(queries, "qid")
+    on keys; only the candidates' vectors take part. A candidate without a vector is an error."""
+    pairs = candidates.select("qid", "vec_id").join(vectors.select("vec_id", F.col(column).alias("v")), "vec_id", "left").join(queries, "qid")
+    missing = F.raise_error(F.concat(F.lit("a candidate has no vector: "), F.col("vec_id").cast("string")))
+    pairs = pairs.withColumn("v", F.when(F.col("v").isNotNull(), F.col("v")).otherwise(missing))
     return top(pairs.select("qid", "vec_id", score(F.col("qvec"), F.col("v")).alias("distance")), k)
 
 
 def within(vectors: DataFrame, queries: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
-    """All (qid, vec_id, distance) at most radius apart, by blocks; only those pairs come out."""
+    """All (qid, vec_id, distance) at most radius apart, by blocks; only those pairs come out. Bad vectors are an error."""
     metric = D.metric_name(metric)
 
     def near(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                block = np.stack(batch["embedding"]).astype(np.float64)
-                a, b = np.nonzero(D.block_distance(metric, qs, block) <= radius + 1e-9)
-                exact = D.exact_distance(metric, qs[a], block[b]) if len(a) else np.zeros(0)
-                keep = exact <= radius
-                yield pd.DataFrame({"qid": qids[a][keep], "vec_id": batch["vec_id"].to_numpy()[b][keep], "distance": exact[keep]})
-
-        return vectors.select("vec_id", "embedding").mapInPandas(scan, "qid long, vec_id long, distance double")
+                block, ids = np.stack(batch["embedding"]).astype(np.float64), batch["vec_id"].to_numpy()
+                for at in range(0, len(qids), SLICE_QUERIES):
+                    part, names = qs[at : at + SLICE_QUERIES], qids[at : at + SLICE_QUERIES]
+                    a, b = np.nonzero(D.block_distance(metric, part, block) <= radius + 1e-9)
+                    step = max(1, SLICE // block.shape[1])
+                    for k in range(0, len(a), step):
+                        x, y = a[k : k + step], b[k : k + step]
+                        exact = D.exact_distance(metric, part[x], block[y])
+                        keep = exact <= radius
+                        yield pd.DataFrame({"qid": names[x][keep], "vec_id": ids[y][keep], "distance": exact[keep]})
+
+        return checked(vectors, qs.shape[1]).select("vec_id", "embedding").mapInPandas(scan, "qid long, vec_id long, distance double")
 
     return over_blocks(queries, near)
 

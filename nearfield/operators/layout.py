@@ -194,6 +194,9 @@ class PageCache:
     def _set(self, page: int) -> int:
         return ((page * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - self.bits) if self.bits else 0
 
+    def holds(self, page: int) -> bool:
+        return any(entry[0] == page for entry in self.slot[self._set(page)])
+
     def read(self, page: int) -> bool:
         k = self._set(page)
         s = self.slot[k]

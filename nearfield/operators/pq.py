@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance as D
-from nearfield.operators.knn import over_blocks, scan_topk, top
+from nearfield.operators.knn import checked, over_blocks, scan_topk, top
 
 CENTROIDS = 256
 TRAIN_ROWS = 65_536
@@ -58,7 +58,7 @@ def train(vectors: DataFrame, m: int, rounds: int = 10, seed: int = 42, k: int =
         raise ValueError(f"{dim} dimensions don't divide by {m}")
     width = dim // m
     unit = F.xxhash64(F.lit(seed), "vec_id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    drawn = vectors.where(unit < min(1.0, rows / n))
+    drawn = checked(vectors, dim).where(unit < min(1.0, rows / n))
     parts = drawn.select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.slice("embedding", i * width + 1, F.lit(width)))).alias("m", "part"))
 
     def cluster(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -94,7 +94,7 @@ def encode(vectors: DataFrame, book: np.ndarray) -> DataFrame:
             found = np.stack([_nearest(data[:, i * width : (i + 1) * width], book[i]) for i in range(m)], 1)
             yield pd.DataFrame({"vec_id": batch["vec_id"], "code": list(found.astype(np.int16))})
 
-    return vectors.select("vec_id", "embedding").mapInPandas(codes, "vec_id long, code array<smallint>")
+    return checked(vectors.select("vec_id", "embedding"), m * width).mapInPandas(codes, "vec_id long, code array<smallint>")
 
 
 def tables(queries: np.ndarray, book: np.ndarray, metric: str = "l2") -> np.ndarray:

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from nearfield.operators.knn import over_blocks, top
+from nearfield.operators.knn import SLICE_QUERIES, checked, over_blocks, top
 
 
 @dataclass(frozen=True)
@@ -91,7 +91,7 @@ def unpack(data: np.ndarray, dim: int) -> np.ndarray:
 
 
 def encode(vectors: DataFrame, segments: Segments, packed: bool = False) -> DataFrame:
-    """vectors(vec_id, embedding) -> vec_id, codes (a byte or half a byte each), rescale, length by segment."""
+    """vectors(vec_id, embedding), bad ones an error -> vec_id, codes (a byte or half a byte each), rescale, length by segment."""
     if packed and any(bits != 4 for *_, bits in segments.parts):
         raise ValueError("only 4-bit codes are packed")
 
@@ -102,7 +102,8 @@ def encode(vectors: DataFrame, segments: Segments, packed: bool = False) -> Data
             rows = [b"".join(c[i].tobytes() for c in data) for i in range(len(batch))]
             yield pd.DataFrame({"vec_id": batch["vec_id"], "codes": rows, "rescale": list(np.stack([r for _, r, _ in found], 1)), "length": list(np.stack([n for *_, n in found], 1))})
 
-    return vectors.select("vec_id", "embedding").mapInPandas(codes, "vec_id long, codes binary, rescale array<double>, length array<double>")
+    dim = sum(size for _, size, *_ in segments.parts)
+    return checked(vectors.select("vec_id", "embedding"), dim).mapInPandas(codes, "vec_id long, codes binary, rescale array<double>, length array<double>")
 
 
 def decode_block(rows: pd.Series, segments: Segments, packed: bool) -> list[np.ndarray]:
@@ -128,15 +129,24 @@ def estimate_block(queries: np.ndarray, codes: list[np.ndarray], rescale: np.nda
 
 
 def saq_knn(coded: DataFrame, queries: DataFrame, segments: Segments, k: int, packed: bool = False) -> DataFrame:
-    """The k nearest by estimated squared distance: coded as encode() gives it, queries(qid, qvec)."""
+    """The k nearest by estimated squared distance: coded as encode() gives it, queries(qid, qvec). A partition
+    sends its best k per query."""
 
     def near(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))]
             for batch in batches:
-                d = estimate_block(qs, decode_block(batch["codes"], segments, packed), np.stack(batch["rescale"]), np.stack(batch["length"]), segments)
-                ids = batch["vec_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "vec_id": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
+                codes, rescale, length = decode_block(batch["codes"], segments, packed), np.stack(batch["rescale"]), np.stack(batch["length"])
+                ids, merged = batch["vec_id"].to_numpy(np.int64), ([], [])
+                for a in range(0, len(qids), SLICE_QUERIES):
+                    d = estimate_block(qs[a : a + SLICE_QUERIES], codes, rescale, length, segments)
+                    both = [np.concatenate([held[0][a : a + SLICE_QUERIES], np.broadcast_to(ids, d.shape)], 1), np.concatenate([held[1][a : a + SLICE_QUERIES], d], 1)]
+                    order = np.lexsort(both, axis=1)[:, :k]
+                    for out, x in zip(merged, both, strict=True):
+                        out.append(np.take_along_axis(x, order, 1))
+                held = [np.concatenate(x) for x in merged]
+            n = held[0].shape[1]
+            yield pd.DataFrame({"qid": np.repeat(qids, n), "vec_id": held[0].ravel(), "distance": held[1].ravel()})
 
         return coded.mapInPandas(scan, "qid long, vec_id long, distance double")
 
