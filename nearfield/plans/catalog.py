@@ -17,6 +17,8 @@ from nearfield.streaming.health import health_batch
 
 K, STAGE_1, STAGE_2 = 10, 80, 40
 PQ_PARTS = 8
+#: Candidates for re-ranking by product codes: untrained ones are rough and give more.
+PQ_STAGE, PQ_TRAINED_STAGE = 400, 160
 ADA_ROWS, ADA_FLOOR = [(20.0, 50, 4, 8), (8.0, 100, 4, 16), (2.0, 150, 0, 0)], (200, 0, 0)
 SNAP, LIMIT_US, DEPTH = 500, 300_000.0, 32
 
@@ -283,10 +285,10 @@ def pq_adc_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(_adc(vectors(spark, sf_dir), K))
 
 
-@query(f"WITH {BOOK}, {CODED}, {ADC}, s1 AS ({_top('adc', STAGE_2)}), d AS (SELECT s1.qid, s1.vec_id, {_l2('a.embedding', 'b.embedding')} AS distance FROM s1 JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = s1.vec_id) {_top('d')}")
+@query(f"WITH {BOOK}, {CODED}, {ADC}, s1 AS ({_top('adc', PQ_STAGE)}), d AS (SELECT s1.qid, s1.vec_id, {_l2('a.embedding', 'b.embedding')} AS distance FROM s1 JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = s1.vec_id) {_top('d')}")
 def pq_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return ranked(knn.refine(_adc(v, STAGE_2), v, queries_of(v), K, D.l2))
+    return ranked(knn.refine(_adc(v, PQ_STAGE), v, queries_of(v), K, D.l2))
 
 
 @query()
@@ -299,7 +301,7 @@ def pq_trained_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pq_trained_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     book = pq.as_array(pq.train(v, PQ_PARTS))
-    return ranked(knn.refine(pq.adc_knn(pq.encode(v, book), queries_of(v), book, STAGE_1), v, queries_of(v), K, D.cosine))
+    return ranked(knn.refine(pq.adc_knn(pq.encode(v, book), queries_of(v), book, PQ_TRAINED_STAGE), v, queries_of(v), K, D.cosine))
 
 
 # Segmented codes.
