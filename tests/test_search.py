@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import codes as C
 from nearfield.functions import distance as D
-from nearfield.operators import graph, knn, pq, saq
+from nearfield.operators import adaptive, graph, knn, pq, saq
 from tests.test_distance_codes import table
 
 
@@ -209,3 +209,74 @@ def test_sql_functions(spark):
     sql.register(spark)
     row = spark.sql("SELECT vec_l2(array(0D, 0D), array(3D, 4D)) a, vec_ip(array(1D, 2D, 3D), array(4D, 5D, 6D)) b, vec_cosine(array(0D), array(1D)) c, vec_norm(array(3D, 4D)) d, vec_normalize(array(3D, 4D)) e, vec_int8(array(0.5D, -2D)) f").first()
     assert (row.a, row.b, row.c, row.d, row.e, row.f) == (25, -32, 1, 5, [0.6, 0.8], [64, -127])
+
+
+BAD = {"null": None, "a null in it": [1.0, None, 0.5, 0.5], "NaN": [1.0, float("nan"), 0.5, 0.5], "infinity": [1.0, float("inf"), 0.5, 0.5], "length": [1.0, 2.0]}
+GOOD = [(k, [float(k % 7), 1.0, 0.5, float(k % 3)]) for k in range(40)]
+BOOK = np.random.default_rng(0).standard_normal((2, 4, 2))
+TAKES = {
+    "knn": lambda v, q: knn.knn(v, q), "within": lambda v, q: knn.within(v, q, 100.0), "difficulty": lambda v, q: adaptive.difficulty(v, q, q.select("qid", F.lit(1.0).alias("mu"), F.lit(0.1).alias("sigma"))),
+    "stats": lambda v, q: adaptive.dimension_stats(v), "pq": lambda v, q: pq.encode(v, BOOK), "train": lambda v, q: pq.train(v, 2, k=4), "saq": lambda v, q: saq.encode(v, saq.Segments.even(4, 2)),
+    "build": lambda v, q: graph.nsw_build(v), "prune": lambda v, q: graph.prune(v.select(F.lit(0).cast("long").alias("src"), F.col("vec_id").alias("dst"), F.lit(0.5).alias("distance")), v),
+    "queries": lambda v, q: knn.knn(v.where("vec_id < 40"), v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))),
+    "graph queries": lambda v, q: graph.search_graph(graph.nsw_build(v.where("vec_id < 40")), v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), 3),
+}
+
+
+@pytest.mark.parametrize("bad", list(BAD))
+def test_bad_vectors_are_errors(spark, bad):
+    v = spark.createDataFrame([*GOOD, (99, BAD[bad])], "vec_id long, embedding array<float>")
+    q = v.where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    for name, take in TAKES.items():
+        with pytest.raises(Exception, match="not a vector|not a finite"):
+            take(v, q).collect()
+            raise AssertionError(name)
+
+
+@pytest.mark.parametrize("bad", ["a null in it", "NaN", "infinity"])
+def test_bad_numbers_have_no_code(spark, bad):
+    v = spark.createDataFrame([(99, BAD[bad])], "vec_id long, embedding array<float>")
+    for take in (lambda: v.select(C.int8_code("embedding")), lambda: C.dimension_scales(v)):
+        with pytest.raises(Exception, match="not a finite"):
+            take().collect()
+
+
+def test_a_candidate_without_a_vector_is_an_error(spark):
+    v = spark.createDataFrame(GOOD, "vec_id long, embedding array<float>")
+    q = v.where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    with pytest.raises(Exception, match="has no vector"):
+        knn.refine(spark.createDataFrame([(1, 1000)], "qid long, vec_id long"), v, q, 3, D.l2).collect()
+
+
+def test_many_ties_take_little_memory():
+    """4,000 equal vectors of 256 dimensions and 300 queries: the k smallest ids, without queries times ties of vectors at once."""
+    import tracemalloc
+
+    block, part = np.ones((4000, 256)), np.random.default_rng(1).standard_normal((300, 256))
+    ids = np.arange(4000)[::-1].copy()
+    tracemalloc.start()
+    near, fine = knn._candidates(part, block, ids, D.block_distance("l2", part, block), 5, lambda a, b: D.exact_distance("l2", a, b))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    best = np.take_along_axis(ids[near], np.lexsort((ids[near], fine), axis=1)[:, :5], 1)
+    assert (best == np.arange(5)).all() and most < 400e6
+
+
+def test_levels_beyond_the_bound_are_an_error(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(12)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "vec_id long")
+    cut = lambda df: df.checkpoint()
+    assert graph.bfs_levels(edges, start, cut).count() == 13
+    with pytest.raises(ValueError, match="levels"):
+        graph.bfs_levels(edges, start, cut, most=5)
+
+
+def test_a_cache_of_pages_changes_no_result(spark):
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(k, rng.standard_normal(8).tolist()) for k in range(200)], "vec_id long, embedding array<float>")
+    g = graph.nsw_build(v).withColumn("page_id", (F.col("vec_id") / 10).cast("int"))
+    q = knn.queries_from(v, 20)
+    plain = graph.search_graph(g, q, 5).collect()
+    assert sorted(map(tuple, graph.search_graph(g, q, 5, cache_slots=64).collect())) == sorted(map(tuple, plain))
+    for r in graph.search_graph(g, q, 5, cache_slots=64, output="page_metrics").collect():
+        assert r.hits + r.misses == r.expansions and r.misses <= 20
