@@ -22,6 +22,8 @@ SEED = 42
 CELLS_PER_TASK = 2_000_000
 #: Cells with more members than this are cut up further before members are compared with one another.
 LARGE_CELL = 64
+#: Cells to look members up for, up to which the cells are broadcast.
+FEW_CELLS = 1 << 18
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -103,11 +105,6 @@ def comb_masks(limit: int) -> list[int]:
     return [_signed(sum(teeth[k] for k in chosen)) for chosen in combinations(range(2 * limit), limit)]
 
 
-def _close(a: Column, b: Column, limit: int) -> Column:
-    """The lower bound first, then the exact distance."""
-    return (F.bit_count(embedding(a).bitwiseXOR(embedding(b))) <= limit) & (F.bit_count(a.bitwiseXOR(b)) <= limit)
-
-
 def grid_groups(n: int, limit: int = 4, weight: float = 4.0) -> int:
     """The number of groups whose grid costs n fingerprints least: rows of cells, and `weight` for each chance
     meeting in them. Two unrelated embeddings agree on a coordinate with probability 3/8."""
@@ -123,24 +120,39 @@ def _dealt(prints: DataFrame, rows_each: int, key: str) -> DataFrame:
     return prints.repartition(max(least, prints.count() * rows_each // CELLS_PER_TASK), key)
 
 
-def _links(cells: DataFrame, close: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """cells(cell, node) -> labels(node, label) over links between nodes that share a cell, are close, and verified.
+def _links(cells: DataFrame, bits: Callable[[DataFrame, str], DataFrame], distance: Callable[[Column, Column], Column], limit: int, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, int], DataFrame], known: DataFrame | None = None, only_stars: bool = False) -> DataFrame:
+    """cells(cell, node, comp) -> labels(node, label) over links between nodes that share a cell, are close, and verified, and over
+    those that known(node, label) stands for; comp is a node's label there, or else the node.
 
-    close keeps of pairs (a, b) the close ones, with their distance d, each once; verify keeps the links among them.
-    The two members of a cell of two, the usual chance meeting, are compared on the spot. No larger cell's pairs are
-    listed at first: each member is compared with the cell's smallest one, each node's closest pair is verified, and the
-    components so far are found. What may still tie components together is compared then: close pairs not yet
+    bits(rows, x) adds to rows the fingerprint of the node in column x, as x_bits; two nodes are close whose fingerprints' distance is at most
+    limit; verify keeps of close pairs (a, b) the links.
+    Cells whose members lie in one component already are passed over. The two members of a cell of two, the usual chance meeting, are
+    compared on the spot. No larger cell's pairs are listed at first: each member is compared with the cell's smallest one, each node's closest
+    pair is verified, and the components so far are found. What may still tie components together is compared then: close pairs not yet
     verified, and, in cells that still hold several components, the members outside the largest one with the members
     of other components. Large such cells are cut up by refine first. Pairs left out lie in one component
-    already, so components are exact for what shares a cell.
+    already, so components are exact for what shares a cell. With only_stars that last step is left to a later call.
     """
-    shared = cut(cells.groupBy("cell").agg(F.min("node").alias("rep"), F.max("node").alias("top"), F.count("*").alias("n")).where("n > 1"))
-    members = cut(spread_join(cells, shared.where("n > 2").select("cell", "rep", "n"), ["cell"], "n"))
-    pairs = members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    stars = cut(close(pairs.unionByName(shared.where("n = 2").select(F.col("top").alias("a"), F.col("rep").alias("b")))))
+    first = F.struct("comp", "node")
+    shared = cells.groupBy("cell").agg(F.min(first).alias("low"), F.max(first).alias("high"), F.count("*").alias("n")).where("low.comp < high.comp")
+    shared = cut(shared.select("cell", "n", F.col("low.node").alias("rep"), F.col("low.comp").alias("rep_comp"), F.col("high.node").alias("top")))
+    larger = shared.where("n > 2").select("cell", "rep", "rep_comp", "n")
+    if larger.count() <= FEW_CELLS:
+        members = cells.join(F.broadcast(larger.drop("n")), "cell")  # FEW_CELLS short rows at most
+    else:
+        members = spread_join(cells, larger, ["cell"], "n")
+    members = cut(members)
+    pairs = members.where("comp <> rep_comp").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    pairs = bits(bits(pairs.unionByName(shared.where("n = 2").select(F.col("top").alias("a"), F.col("rep").alias("b"))).distinct(), "a"), "b")
+    stars = cut(pairs.withColumn("d", distance(F.col("a_bits"), F.col("b_bits"))).where(F.col("d") <= limit).select("a", "b", "d"))
     best = stars.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    links = cut(verify(best))
+    links = verify(best).select("a", "b")
+    if known is not None:
+        links = links.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    links = cut(links)
     first = components(links)
+    if only_stars:
+        return first
     named = first.select(F.col("node").alias("named"), "label")
 
     def across(found: DataFrame) -> DataFrame:
@@ -148,16 +160,17 @@ def _links(cells: DataFrame, close: Callable[[DataFrame], DataFrame], verify: Ca
             found = found.join(named, F.col(side) == F.col("named"), "left").withColumn(f"{side}_comp", F.coalesce("label", side)).drop("named", "label")
         return found.where("a_comp <> b_comp").select("a", "b")
 
-    tagged = cut(members.join(named, members.node == named.named, "left").select("cell", "node", F.coalesce("label", "node").alias("comp")))
+    tagged = members.drop("comp").join(named, members.node == named.named, "left").select("cell", "node", F.coalesce("label", "node").alias("comp"))
     whole = _mixed(tagged)
     largest = whole.agg(F.max("n")).first()[0] or 0
     small = whole.where(F.col("n") <= LARGE_CELL)
     if largest > LARGE_CELL:
         finer = refine(whole.where(F.col("n") > LARGE_CELL).select("cell", "node", "comp"), largest)
         small = small.unionByName(_mixed(cut(finer)))
-    outside = small.where("comp <> main").select("cell", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-    rest = small.join(outside, "cell").where((F.col("comp") != F.col("other_comp")) & ((F.col("node") > F.col("other")) | (F.col("comp") == F.col("main"))))
-    rest = close(rest.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")))
+    small = bits(small, "node")
+    outside = small.where("comp <> main").select("cell", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("node_bits").alias("other_bits"))
+    rest = small.join(outside, "cell").where((F.col("comp") != F.col("other_comp")) & ((F.col("node") > F.col("other")) | (F.col("comp") == F.col("main"))) & (distance(F.col("node_bits"), F.col("other_bits")) <= limit))
+    rest = rest.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
     more = cut(across(stars).unionByName(rest.select("a", "b")).distinct())
     if more.isEmpty():
         return first
@@ -185,10 +198,14 @@ def fingerprint_components(prints: DataFrame, limit: int = 4, groups: int | None
     masks = cell_masks(limit, groups)
     embedded = _dealt(prints, len(masks), "fp").select("fp", embedding(F.col("fp")).alias("e"))
     cells = embedded.select("fp", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "part"))
-    cells = cells.select(F.xxhash64("mask", "part").alias("cell"), F.col("fp").alias("node"))  # a collision only adds a comparison
+    cells = cells.select(F.xxhash64("mask", "part").alias("cell"), F.col("fp").alias("node"), F.col("fp").alias("comp"))  # a collision only adds a comparison
 
-    def close(pairs: DataFrame) -> DataFrame:
-        return pairs.where(_close(F.col("a"), F.col("b"), limit)).distinct().withColumn("d", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    def bits(rows: DataFrame, x: str) -> DataFrame:
+        return rows.withColumn(f"{x}_bits", F.col(x))
+
+    def distance(a: Column, b: Column) -> Column:
+        lower = F.bit_count(embedding(a).bitwiseXOR(embedding(b)))  # the lower bound first, then the exact distance
+        return F.when(lower > limit, lower).otherwise(F.bit_count(a.bitwiseXOR(b)))
 
     def refine(large: DataFrame, largest: int) -> DataFrame:
         parts = large.select("cell", "node", "comp", F.posexplode(F.array(*[F.col("node").bitwiseAND(F.lit(m)) for m in comb_masks(limit)])).alias("mask", "part"))
@@ -197,7 +214,7 @@ def fingerprint_components(prints: DataFrame, limit: int = 4, groups: int | None
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs
 
-    return _links(cells, close, verify, refine)
+    return _links(cells, bits, distance, limit, verify, refine)
 
 
 def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4, groups: int | None = None, seed: int = SEED) -> DataFrame:
@@ -233,6 +250,10 @@ def _lowest(nodes: DataFrame, labels: DataFrame, node: str) -> DataFrame:
 
 #: 64-bit words of the wide fingerprint.
 WIDE = 4
+#: Grids that come first.
+EARLY = 12
+#: Shingles that a worker gathers before it hands them on, about.
+SET_SIZES = 200_000
 #: The share of pairs at the similarity itself that meet in a cell; of closer pairs more do.
 MEET = 0.98
 
@@ -311,11 +332,11 @@ def _differ(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def bit_tables(n: int, similarity: float, words: int = WIDE, seed: int = SEED, spare: int = 3, meet: float = MEET) -> list[list[int]]:
+def bit_tables(n: int, similarity: float, words: int = WIDE, seed: int = SEED, spare: int = 5, meet: float = MEET) -> list[list[int]]:
     """Masks over the words of a wide fingerprint: each takes so many bits that n unrelated fingerprints meet
     2^-spare others in its cell, and there are so many masks that a pair at the similarity meets in one with probability `meet`."""
     bits = min(48, max(6, math.ceil(math.log2(max(2, n))) + spare))
-    count = math.ceil(math.log(1 - meet) / math.log1p(-((1 - _differ(similarity)) ** bits)))
+    count = max(2 * EARLY, math.ceil(math.log(1 - meet) / math.log1p(-((1 - _differ(similarity)) ** bits))))
     rng, out = random.Random(seed), []
     for _ in range(count):
         masks = [0] * words
@@ -351,8 +372,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     @F.pandas_udf("key binary, bits array<bigint>")
     def wide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = [shingle_set(t or "", width) for t in texts]
-            yield pd.DataFrame({"key": [k for k, _ in found], "bits": [wide_fingerprint(s) for _, s in found]})
+            rows = []
+            for text in texts:  # no more than one text's shingles at a time
+                key, shingles = shingle_set(text or "", width)
+                rows.append((key, wide_fingerprint(shingles)))
+            yield pd.DataFrame(rows, columns=["key", "bits"])
 
     keys = docs.select("doc_id", wide("text").alias("found"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("place"), *carry)
     keys = cut(keys.select("doc_id", F.col("found.key").alias("key"), F.col("found.bits").alias("bits"), "place", *carry))
@@ -361,26 +385,39 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     prints = nodes.select("node", "bits")
     count = nodes.count()
     tables = bit_tables(count, similarity, meet=meet)
-    cells = _dealt(prints, len(tables), "node").select("node", F.explode(_cells("bits", tables)).alias("cell"))
+
+    def cells(some: list[list[int]], labels: DataFrame | None) -> DataFrame:
+        rows = _dealt(prints, len(some), "node")
+        if labels is not None:
+            rows = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
+        else:
+            rows = rows.withColumn("comp", F.col("node"))
+        return rows.select("node", "comp", F.explode(_cells("bits", some)).alias("cell"))
+
     expected = _differ(similarity) * 64 * WIDE
     radius = math.ceil(expected + 3 * math.sqrt(expected * (1 - _differ(similarity))))
 
-    def close(pairs: DataFrame) -> DataFrame:
-        found = pairs.distinct()
-        for side in "ab":
-            found = found.join(prints.select(F.col("node").alias(side), F.col("bits").alias(f"{side}_bits")), side)
-        distance = sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(WIDE)), F.lit(0))
-        return found.withColumn("d", distance).where(F.col("d") <= radius).select("a", "b", "d")
+    def bits(rows: DataFrame, x: str) -> DataFrame:
+        return rows.join(prints.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits")), x)
+
+    def distance(a: Column, b: Column) -> Column:
+        return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(WIDE)), F.lit(0))
 
     def refine(large: DataFrame, largest: int) -> DataFrame:
         finer = bit_tables(largest, similarity, seed=SEED + 1, meet=meet)
         return large.join(prints, "node").select("node", "comp", F.explode(_cells("bits", finer, F.col("cell"))).alias("cell"))
 
-    @F.pandas_udf("key binary, shingles array<bigint>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            found = [shingle_set(t or "", width) for t in texts]
-            yield pd.DataFrame({"key": [k for k, _ in found], "shingles": [s.view(np.int64) for _, s in found]})
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for batch in batches:
+            for text in batch["text"]:
+                key, shingles = shingle_set(text, width)
+                rows.append((key, shingles.view(np.int64)))
+                size += len(shingles)
+                if size > SET_SIZES:
+                    yield pd.DataFrame(rows, columns=["key", "shingles"])
+                    rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["key", "shingles"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.select("a", "b"))
@@ -391,7 +428,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
         if wanted.count() <= broadcast_rows:
             some = F.broadcast(some)  # a number for each, broadcast_rows of them at most
         texts = texts.join(some, "place", "left_semi").groupBy("place", "text").agg(F.lit(1).alias("one"))
-        found = texts.select(sets("text").alias("found")).select("found.*").dropDuplicates(["key"])
+        found = texts.select("text").mapInPandas(sets, "key binary, shingles array<bigint>").dropDuplicates(["key"])
         found = cut(wanted.join(found, "key").select("node", "pairs", "shingles"))
         both = pairs
         for side in "ab":
@@ -399,6 +436,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
         common = F.size(F.array_intersect("a_set", "b_set"))
         return both.where(common >= similarity * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
 
-    labels = _links(cells, close, verify, refine)
+    # a few grids tie the groups of close copies together, so that the others need not look at these again
+    early = cut(_links(cells(tables[:EARLY], None), bits, distance, radius, verify, refine, only_stars=True))
+    labels = _links(cells(tables, early), bits, distance, radius, verify, refine, early)
     named = _lowest(nodes.select("node", "key", "first_id", "rows"), labels, "node").select("key", "label", "component_id", "rows")
     return spread_join(keys.drop("bits", "place"), named, ["key"], "rows").select("doc_id", "component_id", "label", *carry)
