@@ -248,8 +248,9 @@ def _lowest(nodes: DataFrame, labels: DataFrame, node: str) -> DataFrame:
 
 # Texts by the similarity of their shingles.
 
-#: 64-bit words of the wide fingerprint.
-WIDE = 4
+#: 64-bit words of the wide fingerprint. Cells are chosen among the bits of the first CELL_WORDS; pairs that meet are compared on all,
+#: since the more bits there are, the nearer to the similarity itself are the pairs that need their sets.
+WIDE, CELL_WORDS = 16, 4
 #: Grids that come first.
 EARLY = 12
 #: Shingles that a worker gathers before it hands them on, about.
@@ -316,15 +317,14 @@ def shingle_set(text: str, width: int = 5) -> tuple[bytes, np.ndarray]:
     return hashlib.sha256(w.tobytes()).digest(), h[np.concatenate((np.ones(min(n, 1), bool), h[1:] != h[:-1]))]
 
 
-def wide_fingerprint(shingles: np.ndarray, words: int = WIDE, block: int = 1 << 16) -> list[int]:
+def wide_fingerprint(shingles: np.ndarray, words: int = WIDE) -> list[int]:
     """A SimHash of 64 bits for each of `words` differently mixed hashes, as signed numbers."""
-    out = []
-    for k in range(words):
-        total = np.zeros(64, np.int64)
-        for at in range(0, len(shingles), block):
-            total += _bit_counts(_mix(shingles[at : at + block] + np.uint64((k * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))))
-        out.append(int(np.packbits(total * 2 > len(shingles), bitorder="little").view("<i8")[0]))
-    return out
+    total = np.zeros(64 * words, np.int64)
+    steps = np.arange(words, dtype=np.uint64) * np.uint64(BASE)
+    for at in range(0, len(shingles), 255):  # as many as a byte can count
+        mixed = _mix(shingles[at : at + 255, None] + steps)
+        total += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(shingles), bitorder="little").view("<i8").tolist()
 
 
 def _differ(similarity: float) -> float:
@@ -332,7 +332,7 @@ def _differ(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def bit_tables(n: int, similarity: float, words: int = WIDE, seed: int = SEED, spare: int = 5, meet: float = MEET) -> list[list[int]]:
+def bit_tables(n: int, similarity: float, words: int = CELL_WORDS, seed: int = SEED, spare: int = 5, meet: float = MEET) -> list[list[int]]:
     """Masks over the words of a wide fingerprint: each takes so many bits that n unrelated fingerprints meet
     2^-spare others in its cell, and there are so many masks that a pair at the similarity meets in one with probability `meet`."""
     bits = min(48, max(6, math.ceil(math.log2(max(2, n))) + spare))
@@ -356,7 +356,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     """docs(doc_id, text, ...) -> doc_id, component_id, label: one row per row of docs. Texts link whose sets of
     `width`-word shingles (A-Z in lower case) have a Jaccard similarity of at least `similarity`.
 
-    A SimHash of 256 bits embeds a text; segments here are single bits, so the Manhattan distance of two embeddings is the
+    A SimHash of 1024 bits embeds a text; segments here are single bits, so the Manhattan distance of two embeddings is the
     fingerprints' Hamming distance. Cells of a grid are chosen bits; their number and that of the grids follow the number of texts and
     the similarity, so that a pair at the similarity itself meets in some cell with probability `meet`, closer pairs more surely. Pairs that
     meet within the distance of three standard deviations are verified on their whole sets of shingle hashes. Links are thus never
