@@ -275,3 +275,14 @@ def test_near_on_odd_rows(spark):
 def test_masks_need_room():
     with pytest.raises(ValueError):
         simhash.cell_masks(4, 4)
+
+
+def test_wide_fingerprint_bits_are_majorities():
+    for n in (0, 1, 2, 254, 255, 256, 700):
+        shingles = np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64, endpoint=False)
+        want = []
+        for k in range(simhash.WIDE):
+            mixed = [int(h) for h in simhash._mix(shingles + np.uint64(k * simhash.BASE % (1 << 64)))]
+            word = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > n)
+            want.append(word - (1 << 64) if word >> 63 else word)
+        assert simhash.wide_fingerprint(shingles) == want
