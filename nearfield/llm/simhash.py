@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +87,12 @@ def embedding(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
+def _embedding(fp: np.ndarray) -> np.ndarray:
+    """embedding() of an array."""
+    even, high = np.uint64(0x5555555555555555), fp >> np.uint64(1)
+    return ((fp | high) & even) | ((fp & high & even) << np.uint64(1))
+
+
 def cell_masks(limit: int, groups: int) -> list[int]:
     """Bit masks over the embedding. Its 32 coordinates form groups; a Manhattan distance of at
     most limit leaves at least groups - limit groups untouched, so two embeddings
@@ -120,22 +127,101 @@ def _dealt(prints: DataFrame, rows_each: int, key: str) -> DataFrame:
     return prints.repartition(max(least, prints.count() * rows_each // CELLS_PER_TASK), key)
 
 
-def _links(cells: DataFrame, bits: Callable[[DataFrame, str], DataFrame], distance: Callable[[Column, Column], Column], limit: int, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, int], DataFrame], known: DataFrame | None = None, only_stars: bool = False) -> DataFrame:
+def forest(cell: np.ndarray, node: np.ndarray, comp: np.ndarray, limit: int, large: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of whole cells, one cell behind the other -> pairs of their fingerprints (node, unsigned) that share a cell and differ in at most
+    limit bits. The pairs tie whatever such pairs tie, comp being known to be tied, and there are fewer of them than rows.
+
+    In cells of up to `large` rows each row is compared with the one k rows on, for each k; in larger ones each row outside the
+    largest component with all rows."""
+    up, root = np.unique(comp, return_inverse=True)
+    up = np.arange(len(up))
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1])))
+    sizes = np.diff(np.append(starts, len(cell)))
+    grid, found = _embedding(node), []
+
+    def tie(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal up, root
+        i, j = (x[root[i] != root[j]] for x in (i, j))
+        near = np.bitwise_count(grid[i] ^ grid[j]) <= limit  # the lower bound first, then the exact distance
+        i, j = i[near], j[near]
+        near = np.bitwise_count(node[i] ^ node[j]) <= limit
+        before = len(found)
+        for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            x, y = root[a], root[b]
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            if x != y:
+                up[x] = y
+                found.append((a, b))
+        if len(found) > before:
+            while (up[up] != up).any():
+                up = up[up]
+            root = up[root]
+
+    left = np.repeat(np.where(sizes <= large, starts + sizes, 0), sizes) - np.arange(len(cell))  # rows to the cell's end
+    rows = np.flatnonzero(left > 1)
+    for k in range(1, large):
+        rows = rows[left[rows] > k]
+        if not len(rows):
+            break
+        tie(rows, rows + k)
+    for s, n in zip(starts[sizes > large].tolist(), sizes[sizes > large].tolist(), strict=True):
+        kinds, where, counts = np.unique(root[s : s + n], return_inverse=True, return_counts=True)
+        for a in (s + np.flatnonzero(where != counts.argmax())).tolist():
+            tie(np.full(n, a), np.arange(s, s + n))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return node[pairs[:, 0]], node[pairs[:, 1]]
+
+
+def _tied(small: DataFrame, limit: int) -> DataFrame:
+    """small(cell, node, comp) -> pairs (a, b), by forest() over each cell. A task holds one cell's rows, and a batch besides."""
+    large = LARGE_CELL
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            cell, node, comp = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int64)
+            a, b = (x.view(np.int64) for x in forest(cell, node.view(np.uint64), comp, limit, large))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+        held: list[np.ndarray] = []  # of the cell that the last batch ended in
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            if not rows.shape[1]:
+                continue
+            at = int(np.flatnonzero(rows[0] == rows[0, -1])[0])
+            if at or (held and held[-1][0, -1] != rows[0, 0]):
+                yield from whole([*held, rows[:, :at]])
+                held = []
+            held.append(rows[:, at:])
+        yield from whole(held)
+
+    return small.select("cell", "node", "comp").repartition("cell").sortWithinPartitions("cell").mapInArrow(tie, "a bigint, b bigint")
+
+
+def _links(cells: DataFrame, bits: Callable[[DataFrame, str], DataFrame], distance: Callable[[Column, Column], Column], limit: int, verify: Callable[[DataFrame], DataFrame] | None, refine: Callable[[DataFrame, int], DataFrame], known: DataFrame | None = None, only_stars: bool = False, gathered: DataFrame | None = None) -> DataFrame:
     """cells(cell, node, comp) -> labels(node, label) over links between nodes that share a cell, are close, and verified, and over
     those that known(node, label) stands for; comp is a node's label there, or else the node.
 
     bits(rows, x) adds to rows the fingerprint of the node in column x, as x_bits; two nodes are close whose fingerprints' distance is at most
-    limit; verify keeps of close pairs (a, b) the links.
+    limit; verify keeps of close pairs (a, b) the links; where it is None, nodes are their fingerprints and all close pairs are links. gathered(cell, node),
+    if given, are the same cells, each in one partition already, and each node its own comp.
     Cells whose members lie in one component already are passed over. The two members of a cell of two, the usual chance meeting, are
     compared on the spot. No larger cell's pairs are listed at first: each member is compared with the cell's smallest one, each node's closest
     pair is verified, and the components so far are found. What may still tie components together is compared then: close pairs not yet
     verified, and, in cells that still hold several components, the members outside the largest one with the members
     of other components. Large such cells are cut up by refine first. Pairs left out lie in one component
-    already, so components are exact for what shares a cell. With only_stars that last step is left to a later call.
+    already, so components are exact for what shares a cell. Where nothing is to be verified, a cell gives no more of these pairs than
+    tie its components together. With only_stars that last step is left to a later call.
     """
-    first = F.struct("comp", "node")
-    shared = cells.groupBy("cell").agg(F.min(first).alias("low"), F.max(first).alias("high"), F.count("*").alias("n")).where("low.comp < high.comp")
-    shared = cut(shared.select("cell", "n", F.col("low.node").alias("rep"), F.col("low.comp").alias("rep_comp"), F.col("high.node").alias("top")))
+    if gathered is not None:
+        shared = gathered.groupBy("cell").agg(F.min("node").alias("rep"), F.max("node").alias("top"), F.count("*").alias("n")).where("rep < top")
+        shared = cut(shared.select("cell", "n", "rep", F.col("rep").alias("rep_comp"), "top"))
+    else:
+        first = F.struct("comp", "node")
+        shared = cells.groupBy("cell").agg(F.min(first).alias("low"), F.max(first).alias("high"), F.count("*").alias("n")).where("low.comp < high.comp")
+        shared = cut(shared.select("cell", "n", F.col("low.node").alias("rep"), F.col("low.comp").alias("rep_comp"), F.col("high.node").alias("top")))
     larger = shared.where("n > 2").select("cell", "rep", "rep_comp", "n")
     if larger.count() <= FEW_CELLS:
         members = cells.join(F.broadcast(larger.drop("n")), "cell")  # FEW_CELLS short rows at most
@@ -145,8 +231,10 @@ def _links(cells: DataFrame, bits: Callable[[DataFrame, str], DataFrame], distan
     pairs = members.where("comp <> rep_comp").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     pairs = bits(bits(pairs.unionByName(shared.where("n = 2").select(F.col("top").alias("a"), F.col("rep").alias("b"))).distinct(), "a"), "b")
     stars = cut(pairs.withColumn("d", distance(F.col("a_bits"), F.col("b_bits"))).where(F.col("d") <= limit).select("a", "b", "d"))
-    best = stars.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    links = verify(best).select("a", "b")
+    if verify:
+        links = verify(stars.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))).select("a", "b")
+    else:
+        links = stars.select("a", "b")
     if known is not None:
         links = links.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b")))
     links = cut(links)
@@ -167,6 +255,9 @@ def _links(cells: DataFrame, bits: Callable[[DataFrame, str], DataFrame], distan
     if largest > LARGE_CELL:
         finer = refine(whole.where(F.col("n") > LARGE_CELL).select("cell", "node", "comp"), largest)
         small = small.unionByName(_mixed(cut(finer)))
+    if not verify:
+        more = cut(_tied(small, limit))
+        return first if more.isEmpty() else components(links.unionByName(more))
     small = bits(small, "node")
     outside = small.where("comp <> main").select("cell", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.col("node_bits").alias("other_bits"))
     rest = small.join(outside, "cell").where((F.col("comp") != F.col("other_comp")) & ((F.col("node") > F.col("other")) | (F.col("comp") == F.col("main"))) & (distance(F.col("node_bits"), F.col("other_bits")) <= limit))
@@ -196,9 +287,12 @@ def fingerprint_components(prints: DataFrame, limit: int = 4, groups: int | None
     """
     groups = groups or grid_groups(prints.count(), limit)
     masks = cell_masks(limit, groups)
-    embedded = _dealt(prints, len(masks), "fp").select("fp", embedding(F.col("fp")).alias("e"))
-    cells = embedded.select("fp", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "part"))
-    cells = cells.select(F.xxhash64("mask", "part").alias("cell"), F.col("fp").alias("node"), F.col("fp").alias("comp"))  # a collision only adds a comparison
+    numbers = F.array(*map(F.lit, range(len(masks)))).cast("array<smallint>")
+    entered = _dealt(prints, len(masks), "fp").select(F.col("fp").alias("node"), F.explode(numbers).alias("mask"))
+    part = embedding(F.col("node")).bitwiseAND(F.array(*map(F.lit, masks))[F.col("mask")])
+    cell = F.xxhash64("mask", part)  # a collision only adds a comparison
+    cells = entered.select(cell.alias("cell"), "node", F.col("node").alias("comp"))
+    gathered = entered.repartition(cell).select(cell.alias("cell"), "node")  # only the node and the mask's number move
 
     def bits(rows: DataFrame, x: str) -> DataFrame:
         return rows.withColumn(f"{x}_bits", F.col(x))
@@ -211,10 +305,7 @@ def fingerprint_components(prints: DataFrame, limit: int = 4, groups: int | None
         parts = large.select("cell", "node", "comp", F.posexplode(F.array(*[F.col("node").bitwiseAND(F.lit(m)) for m in comb_masks(limit)])).alias("mask", "part"))
         return parts.select(F.xxhash64("cell", "mask", "part").alias("cell"), "node", "comp")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return pairs
-
-    return _links(cells, bits, distance, limit, verify, refine)
+    return _links(cells, bits, distance, limit, None, refine, gathered=gathered)
 
 
 def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4, groups: int | None = None, seed: int = SEED) -> DataFrame:

@@ -161,6 +161,59 @@ def test_large_unrelated_cells_are_cut_up(spark, monkeypatch):
     assert pairs[1600] < 1600 * 16
 
 
+@pytest.mark.parametrize("large", [64, 3])
+def test_close_copies_in_a_cell_are_tied_by_fewer_pairs_than_rows(spark, monkeypatch, large):
+    """Fingerprints around a few middles, most of them within the limit of many others and not of the cell's smallest: a cell gives
+    a pair less than it has rows for each component, and components are those of all pairs."""
+    rng, prints = random.Random(11), set()
+    for middle in (0x0123456789ABCDEF, 0xFEDCBA9876543210):
+        for _ in range(150):
+            bits = rng.sample(range(64), 3)  # two of these are 6 bits apart, or 4 where they share one
+            prints.add(middle ^ sum(1 << b for b in bits))
+    monkeypatch.setattr(simhash, "LARGE_CELL", large)
+    signed = [(p - 2**64 if p >> 63 else p,) for p in sorted(prints)]
+    got = {r.node & (2**64 - 1): r.label for r in simhash.fingerprint_components(spark.createDataFrame(signed, "fp long"), groups=6).collect()}
+    want = brute_components(list(prints))
+    same, mine = defaultdict(set), defaultdict(set)
+    for p in prints:
+        same[want[p]].add(p)
+        mine[got.get(p, p)].add(p)
+    assert sorted(map(sorted, same.values())) == sorted(map(sorted, mine.values()))
+
+    cell, node = np.zeros(len(prints), np.int64), np.array(sorted(prints), np.uint64)
+    for most in (2, 1000):
+        pairs = list(zip(*(x.tolist() for x in simhash.forest(cell, node, node.view(np.int64), 4, most)), strict=True))
+        assert all((a ^ b).bit_count() <= 4 for a, b in pairs) and len(pairs) == len(prints) - len(same)
+
+
+def test_cells_of_a_task_that_end_between_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(c, 1000 * c + 8 * k, 1000 * c + 8 * k) for c in range(30) for k in range(c)]  # neighbours differ in few bits or in many
+        got = simhash._tied(spark.createDataFrame(rows, "cell long, node long, comp long"), 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    mine = defaultdict(set)
+    for r in components(spark.createDataFrame(got, "a long, b long")).collect():
+        mine[r.label].add(r.node)
+    same = defaultdict(set)
+    for c in range(30):
+        nodes = [n for x, n, _ in rows if x == c]
+        for p, root in brute_components(nodes).items():
+            same[root].add(p)
+    assert len(got) < len(rows) and sorted(map(sorted, mine.values())) == sorted(sorted(g) for g in same.values() if len(g) > 1)
+
+
+def test_only_nodes_and_mask_numbers_move_to_cells(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(simhash, "_links", lambda *_, **named: seen.update(named) or named["gathered"])
+    simhash.fingerprint_components(spark.range(50).select(F.col("id").alias("fp")), groups=8)
+    cells = seen["gathered"].groupBy("cell").count()
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # fingerprints to tasks, and those with a mask's number to cells
+    assert cells.agg(F.sum("count")).first()[0] == 50 * 70
+
+
 def brute_similar(rows, similarity=0.8, width=5):
     sets = {}
     for _, t in rows:
