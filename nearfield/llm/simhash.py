@@ -11,7 +11,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -218,18 +218,21 @@ def _links(cells: DataFrame, bits: Callable[[DataFrame, str], DataFrame], distan
     if gathered is not None:
         shared = gathered.groupBy("cell").agg(F.min("node").alias("rep"), F.max("node").alias("top"), F.count("*").alias("n")).where("rep < top")
         shared = cut(shared.select("cell", "n", "rep", F.col("rep").alias("rep_comp"), "top"))
+        larger = shared.where("n > 2").select("cell", "rep", "rep_comp", "n")
+        if larger.count() <= FEW_CELLS:
+            members = cells.join(F.broadcast(larger.drop("n")), "cell")  # FEW_CELLS short rows at most
+        else:
+            members = spread_join(cells, larger, ["cell"], "n")
+        members = cut(members)
+        pairs = members.where("comp <> rep_comp").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        pairs = pairs.unionByName(shared.where("n = 2").select(F.col("top").alias("a"), F.col("rep").alias("b")))
     else:
-        first = F.struct("comp", "node")
-        shared = cells.groupBy("cell").agg(F.min(first).alias("low"), F.max(first).alias("high"), F.count("*").alias("n")).where("low.comp < high.comp")
-        shared = cut(shared.select("cell", "n", F.col("low.node").alias("rep"), F.col("low.comp").alias("rep_comp"), F.col("high.node").alias("top")))
-    larger = shared.where("n > 2").select("cell", "rep", "rep_comp", "n")
-    if larger.count() <= FEW_CELLS:
-        members = cells.join(F.broadcast(larger.drop("n")), "cell")  # FEW_CELLS short rows at most
-    else:
-        members = spread_join(cells, larger, ["cell"], "n")
-    members = cut(members)
-    pairs = members.where("comp <> rep_comp").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    pairs = bits(bits(pairs.unionByName(shared.where("n = 2").select(F.col("top").alias("a"), F.col("rep").alias("b"))).distinct(), "a"), "b")
+        first, whole = F.struct("comp", "node"), Window.partitionBy("cell")
+        members = cells.repartition("cell").select("*", F.min(first).over(whole).alias("low"), F.max("comp").over(whole).alias("high"), F.count("*").over(whole).alias("n"))
+        members = cut(members.where("low.comp < high").select("cell", "node", "comp", F.col("low.node").alias("rep"), F.col("low.comp").alias("rep_comp"), "n"))
+        pairs = members.where("comp <> rep_comp").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        members = members.where("n > 2")
+    pairs = bits(bits(pairs.distinct(), "a"), "b")
     stars = cut(pairs.withColumn("d", distance(F.col("a_bits"), F.col("b_bits"))).where(F.col("d") <= limit).select("a", "b", "d"))
     if verify:
         links = verify(stars.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))).select("a", "b")

@@ -311,6 +311,44 @@ def test_components_of_a_path_and_a_star(spark):
     assert all(got[k] == 0 for k in range(101)) and all(got[2000 + k] == 1000 for k in range(300)) and got[1000] == 1000
 
 
+@pytest.mark.parametrize("few", [1 << 17, 0])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, few):
+    """Few edges are one task's work, without joins; both ways give the smallest node that each one reaches."""
+    from nearfield.llm import components as module
+
+    monkeypatch.setattr(module, "FEW_EDGES", few)
+    cuts, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: cuts.append(df) or cut(df))
+    rng = random.Random(12)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(220)] + [(2**62, 2**62 + 1), (5, None), (None, 6), (9, 9)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    near = defaultdict(set)
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for n in sorted(near):
+        todo = [] if n in want else [n]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = n
+                todo += near[x]
+    assert got == want and (len(cuts) == 2) == bool(few)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_members_of_shared_cells_are_found_without_a_join(spark, monkeypatch):
+    """Cells of wide fingerprints: what is kept are the rows of cells that hold several components, from one pass over all rows."""
+    plans, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or cut(df))
+    rows = [(k, f"common words that all texts of this table repeat in one order number {k % 40}") for k in range(120)]
+    simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    found = [plan for columns, plan in plans if {"cell", "rep", "n"} <= set(columns)]
+    assert len(found) == 2 and all("Window" in plan for plan in found) and "Join" not in found[0]
+
+
 def test_near_on_odd_rows(spark):
     got = simhash.near_duplicates(odd(spark))
     assert got.columns == ["doc_id", "fingerprint", "component_id"]
