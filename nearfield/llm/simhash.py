@@ -274,9 +274,10 @@ def _links(cells: DataFrame, bits: Callable[[DataFrame, str], DataFrame], distan
 def _mixed(tagged: DataFrame) -> DataFrame:
     """tagged(cell, node, comp): the rows of cells with several components, and with them the cell's largest component, main, and
     number of rows, n."""
-    sizes = tagged.groupBy("cell", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("cell").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("kinds"), F.sum("c").alias("n")).where("kinds > 1")
-    return cut(tagged.join(mixed.select("cell", "main", "n"), "cell"))
+    whole = Window.partitionBy("cell")
+    counted = tagged.repartition("cell").withColumn("c", F.count("*").over(Window.partitionBy("cell", "comp")))
+    counted = counted.select("cell", "node", "comp", F.max(F.struct("c", "comp")).over(whole)["comp"].alias("main"), F.count("*").over(whole).alias("n"), F.min("comp").over(whole).alias("low"), F.max("comp").over(whole).alias("high"))
+    return cut(counted.where("low < high").drop("low", "high"))
 
 
 def fingerprint_components(prints: DataFrame, limit: int = 4, groups: int | None = None) -> DataFrame:

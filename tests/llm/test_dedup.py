@@ -349,6 +349,15 @@ def test_members_of_shared_cells_are_found_without_a_join(spark, monkeypatch):
     assert len(found) == 2 and all("Window" in plan for plan in found) and "Join" not in found[0]
 
 
+def test_mixed_cells_are_found_without_a_join(spark, monkeypatch):
+    plans, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    rows = [(1, 1, 1), (1, 2, 1), (1, 3, 3), (2, 4, 4), (2, 5, 4), (3, 6, 6), (3, 7, 7)]
+    got = simhash._mixed(spark.createDataFrame(rows, "cell long, node long, comp long"))
+    assert got.columns == ["cell", "node", "comp", "main", "n"] and "Join" not in plans[0]
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1, 1, 3), (1, 2, 1, 1, 3), (1, 3, 3, 1, 3), (3, 6, 6, 7, 2), (3, 7, 7, 7, 2)]
+
+
 def test_near_on_odd_rows(spark):
     got = simhash.near_duplicates(odd(spark))
     assert got.columns == ["doc_id", "fingerprint", "component_id"]
