@@ -39,6 +39,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a batch of rows between Spark and a Python worker. The worker holds a batch several times over (Arrow, strings, results), the
+#: executor once or twice for each task.
+BATCH, BATCH_SETTING = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on in this session no batch for Python holds more than BATCH bytes and a row, however long the texts are. By
+    default a batch ends at 10,000 rows or 64 MB. A smaller setting stays."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING)) > BATCH:
+        spark.conf.set(BATCH_SETTING, f"{BATCH}b")
+
+
 #: A group is hot from this part of all rows on, so there are no more hot groups than that; each is dealt out to so many tasks.
 #: Groups of fewer than WORTH rows are not worth it.
 HOT, SALTS, WORTH = 1000, 64, 256

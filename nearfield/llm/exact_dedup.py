@@ -36,12 +36,12 @@ def recipes(docs: DataFrame, least: int = LEAST, most: int = MOST, hash_chunk: C
     chunks = F.regexp_extract_all("norm", F.lit(chunk_pattern(least, most)), F.lit(0))
     digested = norm.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").cast("long").alias("n_bytes"), chunks.alias("chunks"))
     pieces = digested.select(F.explode("chunks").alias("chunk")).select(hash_chunk(F.col("chunk")).alias("h"), "chunk")
-    unsure = cut(pieces.distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    unsure = pieces.distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     plain = digested.select("doc_id", "text_sha256", "n_bytes", F.transform("chunks", lambda c: F.struct(hash_chunk(c).alias("h"), F.lit(0).alias("k"))).alias("recipe"))
     hashes = unsure.count()
     if not hashes:
         return cut(plain)
-    plain = cut(plain)
+    plain, unsure = cut(plain), cut(unsure)  # found again, in the rare case that there are any
     some = F.broadcast(unsure) if hashes <= broadcast_rows else unsure
     marked = digested.select("text_sha256", F.posexplode("chunks").alias("pos", "chunk")).withColumn("h", hash_chunk(F.col("chunk")))
     marked = cut(marked.join(some, "h", "left_semi").distinct())

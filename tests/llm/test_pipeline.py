@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from nearfield.llm import exact_dedup, quality, queries, simhash
-from nearfield.llm.common import table
+from nearfield.llm.common import BATCH, BATCH_SETTING, table
 from tests.llm.test_dedup import LOWER, brute_similar
 
 SF = "/root/testdata/sf0.001"
@@ -57,6 +57,30 @@ def test_run_ends_with_pieces(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_workers_get_whole_texts_in_small_batches(spark):
+    text, before = "some words of a long text " * 800, spark.conf.get(BATCH_SETTING)
+    docs = spark.createDataFrame([(i, f"{text}{i}", f"s{i % 2}") for i in range(800)], "doc_id long, text string, source string").coalesce(1)
+    sizes = docs.mapInPandas(lambda batches: (b.assign(n=b["text"].str.len().sum())[["n"]].head(1) for b in batches), "n long")
+    try:
+        for stage in (corpus_pipeline.drop_near, corpus_pipeline.mix_sources, corpus_pipeline.pack):
+            spark.conf.set(BATCH_SETTING, "64m")
+            stage(spark, docs.limit(2), SF)
+            assert max(r.n for r in sizes.collect()) <= BATCH + 2 * len(text)
+        spark.conf.set(BATCH_SETTING, "1000b")
+        corpus_pipeline.mix_sources(spark, docs.limit(2), SF)
+        assert spark.conf.get(BATCH_SETTING) == "1000b"
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
+def test_exact_duplicates_write_no_list_of_clashing_hashes_where_there_are_none(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(exact_dedup, "cut", lambda df: written.append(df.columns) or df.checkpoint())
+    docs = spark.createDataFrame([(1, "One text."), (2, "one text."), (3, "Another text.")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in exact_dedup.exact_duplicates(docs).where("kept").collect()) == [2, 3]
+    assert ["h"] not in written and len(written) == 2
+
+
 def test_native_operators_run_no_python(spark):
     docs = table(spark, SF, "documents")
     assert not hasattr(exact_dedup, "np") and simhash is not None
