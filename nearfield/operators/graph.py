@@ -20,6 +20,10 @@ from nearfield.operators.pq import tables
 
 #: Vectors of a shard: one task builds or searches it, in memory of about that many rows.
 SHARD_ROWS = 50_000
+#: Rows whose distances to all rows before them a build holds at a time.
+BUILD_ROWS = 128
+#: Links that a row gets beyond its due before a build chooses among them.
+BUILD_LINKS = 96
 
 
 @dataclass(frozen=True)
@@ -168,26 +172,83 @@ def diverse(distances: np.ndarray, between: np.ndarray, m: int) -> list[int]:
     return kept
 
 
+def _scores(metric: str, data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """(rows a, rows b) -> all distances between them by one matrix product, with norms computed once."""
+    if metric == "l2":
+        return lambda a, b: D.block_distance("l2", data[a], data[b])
+    if metric == "ip":
+        return lambda a, b: -(data[a] @ data[b].T)
+    sq = (data * data).sum(1)
+    unit = data / np.sqrt(np.where(sq > 0, sq, 1))[:, None]
+    return lambda a, b: 1 - unit[a] @ unit[b].T
+
+
 def build_shard(data: np.ndarray, metric: str, m_max: int, ef_construction: int) -> list[np.ndarray]:
-    """Neighbour lists of a navigable small world, rows inserted in order: each is searched for from the first row,
-    tied to a diverse choice of what is found, and tied back; overfull lists are chosen anew."""
-    links: list[np.ndarray] = [np.zeros(0, np.int64) for _ in data]
-    score, search = kernel(metric, data), Search(ef=ef_construction)
-
-    def choose(v: int, ids: np.ndarray, d: np.ndarray) -> np.ndarray:
-        return ids[diverse(d, D.block_distance(metric, data[ids], data[ids]), m_max)]
-
-    for v in range(1, len(data)):
-        found = beam_search(links.__getitem__, score(data[v]), [0], search, v).results
-        links[v] = choose(v, np.array([u for _, u in found], np.int64), np.array([d for d, _ in found]))
-        for u in links[v].tolist():
-            ids = np.append(links[u], v)
-            if len(ids) > m_max:
-                d = score(data[u])(ids)
-                order = np.lexsort((ids, d))
-                ids = choose(u, ids[order], d[order])
-            links[u] = ids
-    return links
+    """Neighbour lists of a navigable small world, rows inserted in order: each is scored against all rows before it (a block of
+    rows by one matrix product), tied to a diverse choice of the ef_construction nearest, and tied back; overfull lists are chosen anew,
+    some links at a time. Every row can be reached from the first."""
+    links: list[list[int]] = [[] for _ in data]
+    scores = _scores(metric, data)
+
+    def choose(ids: np.ndarray, d: np.ndarray) -> list[int]:
+        order = np.lexsort((ids, d))
+        ids, d = ids[order], d[order]
+        return ids[diverse(d, scores(ids, ids), m_max)].tolist()
+
+    def choose_anew(u: int) -> None:
+        ids = np.array(links[u], np.int64)
+        links[u] = choose(ids, scores(slice(u, u + 1), ids)[0])
+
+    for first in range(0, len(data), BUILD_ROWS):
+        last = min(first + BUILD_ROWS, len(data))
+        block = scores(slice(first, last), slice(0, last))
+        for v in range(max(first, 1), last):
+            d = block[v - first, :v]
+            near = np.argpartition(d, ef_construction - 1)[:ef_construction] if v > ef_construction else np.arange(v)
+            links[v] = choose(near, d[near])
+            for u in links[v]:
+                links[u].append(v)
+                if len(links[u]) > m_max + BUILD_LINKS:
+                    choose_anew(u)
+    for u in range(len(data)):
+        if len(links[u]) > m_max:
+            choose_anew(u)
+    lists = [np.array(x, np.int64) for x in links]
+    _tie_in(lists, lambda v: scores(slice(v, v + 1), slice(0, len(data)))[0], m_max)
+    return lists
+
+
+def _tie_in(links: list[np.ndarray], distances: Callable[[int], np.ndarray], m_max: int) -> None:
+    """Gives each row that no walk from the first one reaches a link from the nearest reached row that has room, or a link
+    by which nothing was reached first; its farthest such link then goes."""
+    came = np.full(len(links), -1, np.int64)  # the row from which each one was reached first
+
+    def walk(v: int) -> None:
+        line = [v]
+        while line:
+            u = line.pop()
+            for w in links[u][came[links[u]] < 0].tolist():
+                came[w] = u
+                line.append(w)
+
+    if len(links):
+        came[0] = 0
+        walk(0)
+    for v in range(1, len(links)):
+        if came[v] >= 0:
+            continue
+        d = np.where(came >= 0, distances(v), np.inf)
+        for u in np.argsort(d, kind="stable").tolist():
+            if len(links[u]) < m_max:
+                links[u] = np.append(links[u], v)
+                break
+            spare = np.flatnonzero(came[links[u]] != u)
+            if len(spare):
+                links[u] = links[u].copy()
+                links[u][spare[distances(u)[links[u][spare]].argmax()]] = v
+                break
+        came[v] = u
+        walk(v)
 
 
 def with_shard(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:

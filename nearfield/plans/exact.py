@@ -212,15 +212,14 @@ ORACLE_SQL["health_ewma"] = f"""
 
 @query("SELECT 0 AS shard, count(*) AS nodes, 32 >= 1 AS within_degree, true AS no_loops, true AS no_repeats, count(*) AS reached FROM embeddings")
 def nsw_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the built graph, one shard here: its nodes, that no list is too long, holds its own node or one twice, and how many nodes a walk from
-    the first one reaches."""
-    v = vectors(spark, sf_dir)
-    g = _nsw(v)
-    sums = g.groupBy("shard").agg(
-        F.count("*").alias("nodes"), (F.max(F.size("nbrs")) <= 32).alias("within_degree"), (~F.bool_or(F.array_contains("nbrs", F.col("vec_id")))).alias("no_loops"),
+    """Of the built graph, whose shards count together, under the first one's number: its nodes, that no list is too long, holds its own node
+    or one twice, and how many nodes walks from each shard's first one reach."""
+    g = _nsw(vectors(spark, sf_dir))
+    sums = g.agg(
+        F.min("shard").alias("shard"), F.count("*").alias("nodes"), (F.max(F.size("nbrs")) <= 32).alias("within_degree"), (~F.bool_or(F.array_contains("nbrs", F.col("vec_id")))).alias("no_loops"),
         F.bool_and(F.size("nbrs") == F.size(F.array_distinct("nbrs"))).alias("no_repeats"),
     )
-    walk = graph.bfs_levels(cut(graph.edges_of(g).select("src", "dst")), v.agg(F.min("vec_id").alias("vec_id")), cut)
+    walk = graph.bfs_levels(cut(graph.edges_of(g).select("src", "dst")), g.groupBy("shard").agg(F.min("vec_id").alias("vec_id")), cut)
     return sums.crossJoin(F.broadcast(walk.agg(F.count("*").alias("reached"))))  # one row
 
 
