@@ -129,18 +129,18 @@ def is_permutation(order: DataFrame) -> DataFrame:
     return every.select("shard", ((F.col("n") == F.col("d")) & (F.col("a") == 0) & (F.col("b") == F.col("n") - 1)).alias("valid"))
 
 
-def pack_pages(order: DataFrame, page: int = PAGE, header: int = 0, slot: int = 0) -> DataFrame:
+def pack_pages(order: DataFrame, page: int = PAGE, header: int = 0, slot: int = 0, long_records: bool = False) -> DataFrame:
     """order(shard, new_vid, vec_id, degree) -> with page_id and offset: records of 2 + 4 * degree bytes in order, a new page
     where the next doesn't fit. header and slot are bytes of a page and of each record's directory entry. A record larger than
-    a page is an error."""
+    a page is an error, or with long_records alone on a page, beyond whose end it goes."""
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("new_vid").reset_index(drop=True)
         pages, offsets, at, number = [], [], header, 0
         for size in (2 + 4 * group["degree"]).tolist():
-            if size + slot > page - header:
+            if size + slot > page - header and not long_records:
                 raise ValueError("a record exceeds a page")
-            if at + size + slot > page:
+            if at + size + slot > page and at > header:
                 number, at = number + 1, header
             pages.append(number)
             offsets.append(at)

@@ -38,7 +38,8 @@ def _line(v: DataFrame) -> DataFrame:
 
 
 def _pages(v: DataFrame) -> DataFrame:
-    return layout.pack_pages(_line(v), PAGE)
+    """In-degrees have no bound, so a record may exceed a page."""
+    return layout.pack_pages(_line(v), PAGE, long_records=True)
 
 
 def _trace(v: DataFrame) -> DataFrame:

@@ -227,3 +227,29 @@ def test_only_twpp_splits_its_queries(spark, monkeypatch):
         with pytest.raises(InterruptedError):
             catalog.QUERIES[name](spark, "")
     assert seen == [[0, 100, 200, 300, 400]] * len(whole) + [[0, 200, 400], [100, 300]]
+
+
+def test_a_record_larger_than_a_page_has_its_own(spark):
+    """As the SQL of exact_pack_pages: such a record begins a page, the first one the first, and the next record another."""
+    order = spark.createDataFrame([(0, k, k, d) for k, d in enumerate([9, 1, 1, 9, 9, 1])], "shard int, new_vid long, vec_id long, degree long")
+    got = layout.pack_pages(order, page=12, long_records=True).orderBy("new_vid").collect()
+    assert [(r.page_id, r.offset) for r in got] == [(0, 0), (1, 0), (1, 6), (2, 0), (3, 0), (4, 0)]
+
+
+def test_exact_pages_with_hubs_by_sql(spark, tmp_path):
+    """A vector that 199 others are near to has a record of more than a page; pages, statistics and reads are those of SQL."""
+    import duckdb
+
+    from nearfield.plans import catalog, exact
+
+    rng = np.random.default_rng(3)
+    far = rng.standard_normal((200, 256)) / 16
+    far[:, 0] += 1
+    far[7] = np.arange(256) == 0  # all are near to it
+    spark.createDataFrame([(k, [float(np.float32(x)) for x in v]) for k, v in enumerate(far)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("exact_pack_pages", "exact_packing_stats", "exact_page_reads", "exact_head_share", "exact_cache"):
+        got, want = catalog.QUERIES[name](spark, str(tmp_path)), base.sql(catalog.ORACLE_SQL[name])
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()), name
+    assert exact._pages(catalog.vectors(spark, str(tmp_path))).agg({"degree": "max"}).first()[0] > 127
