@@ -90,7 +90,13 @@ def probit(p: str | Column) -> Column:
 
 def exact_sum(terms: np.ndarray) -> np.ndarray:
     """Sums of the last axis from left to right."""
-    return np.cumsum(terms, axis=-1)[..., -1] if terms.shape[-1] else np.zeros(terms.shape[:-1])
+    if not terms.shape[-1]:
+        return np.zeros(terms.shape[:-1])
+    columns = np.ascontiguousarray(terms.reshape(-1, terms.shape[-1]).T)
+    total = columns[0].copy()
+    for column in columns[1:]:
+        total += column
+    return total.reshape(terms.shape[:-1])
 
 
 def exact_distance(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:

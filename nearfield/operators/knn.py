@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from nearfield.functions import distance as D
 
 #: Bytes of queries that one pass over the vectors takes along; more queries take more passes.
-QUERY_BYTES = 64 << 20
+QUERY_BYTES = 16 << 20
 FEW = 512
 #: Numbers that a slice of exact distances holds, about; queries that a slice of a full matrix takes.
-SLICE, SLICE_QUERIES = 1 << 22, 512
+SLICE, SLICE_QUERIES = 1 << 20, 512
+#: Distances that a scan holds of a batch at a time.
+PANEL = 1 << 20
+#: Rows of a scan's first block.
+FIRST_ROWS = 512
 
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Handles, rough and exact distances, and how far the rough ones may be off.
+Bound = tuple[np.ndarray, Kernel, Kernel, float]
 
 
 def queries_from(vectors: DataFrame, every: int = 100) -> DataFrame:
@@ -50,18 +56,11 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _nearest(held: list[np.ndarray], ids: np.ndarray, distances: np.ndarray, k: int) -> None:
-    """Merges a block's (queries, n) ids and distances into the best k so far."""
-    ids, distances = np.concatenate([held[0], ids], 1), np.concatenate([held[1], distances], 1)
-    order = np.lexsort((ids, distances), axis=1)[:, :k]
-    held[0], held[1] = np.take_along_axis(ids, order, 1), np.take_along_axis(distances, order, 1)
-
-
-def _candidates(part: np.ndarray, block: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int, exact: Kernel) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(part: np.ndarray, block: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int, exact: Kernel, slack: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """Per query the rows whose rough distance lies within rounding of the k-th, ties too, with their exact distances. Where ties are
     many, a query's are scored in slices and its k best kept."""
     kth = np.partition(d, k - 1, axis=1)[:, [k - 1]]
-    close = d <= kth + 1e-9 * (1 + np.abs(np.where(np.isinf(kth), 0, kth)))
+    close = d <= kth + slack * (1 + np.abs(np.where(np.isinf(kth), 0, kth)))
     count = close.sum(1)
     few = 4 * k + 16
     m = int(count[count <= few].max(initial=k))
@@ -81,35 +80,106 @@ def _candidates(part: np.ndarray, block: np.ndarray, ids: np.ndarray, d: np.ndar
     return near, fine
 
 
-def scan_topk(codes: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int, rough: Kernel, exact: Kernel, no_self: bool = False) -> DataFrame:
-    """codes(vec_id, code) against all queries, a block at a time: rough distances by one matrix product choose
-    the candidates (all that lie within rounding of the k-th, ties too), exact ones rank
-    them. A partition sends its best k per query."""
+def _sorted(ids: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, by distance and then id."""
+    order = np.lexsort((ids, distances), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(distances, order, 1)
+
+
+def _below(handles: np.ndarray, block: np.ndarray, ids: np.ndarray, close: np.ndarray, held: tuple[np.ndarray, np.ndarray], k: int, exact: Kernel) -> None:
+    """Scores the close pairs exactly, a bounded number at a time, and merges them into held."""
+    at, cols = np.divmod(np.flatnonzero(close), close.shape[1])
+    step = max(1, SLICE // max(1, block.shape[1]))
+    for a in range(0, len(at), step):
+        q, j = at[a : a + step], cols[a : a + step]
+        some, first, count = np.unique(q, return_index=True, return_counts=True)
+        place = np.arange(len(q)) - np.repeat(first, count)
+        fine = exact(handles[q], block[j])
+        # queries with about as many new pairs together, so that what is padded stays small
+        size = 1 << np.ceil(np.log2(count)).astype(int)
+        for width in np.unique(size).tolist():
+            mine = np.flatnonzero(size == width)
+            row = np.full(len(some), -1)
+            row[mine] = np.arange(len(mine))
+            part = np.repeat(row, count)
+            own = part >= 0
+            new_ids, new = np.zeros((len(mine), width), np.int64), np.full((len(mine), width), np.inf)
+            new_ids[part[own], place[own]], new[part[own], place[own]] = ids[j[own]], fine[own]
+            to = some[mine]
+            held[0][to], held[1][to] = _sorted(np.concatenate([held[0][to], new_ids], 1), np.concatenate([held[1][to], new], 1), k)
+
+
+def _growing(batches: Iterator[pd.DataFrame], first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and codes of batches in blocks, the first ones small and each twice as large as the one before: what they find bounds
+    what the others have to score."""
+    most = first
+    for batch in batches:
+        ids, codes, at = batch["vec_id"].to_numpy(np.int64), np.stack(batch["code"]), 0
+        while at < len(ids):
+            yield ids[at : at + most], codes[at : at + most]
+            at, most = at + most, 2 * most
+
+
+def scan_topk(codes: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int, bind: Callable[[np.ndarray], Bound], no_self: bool = False, bounds: np.ndarray | None = None) -> DataFrame:
+    """codes(vec_id, code) against all queries, a block at a time. bind(some of queries) -> a handle for each of them, rough distances of handles
+    by one matrix product, exact ones of paired rows, and how far rough ones may be off: rough ones choose the candidates (all that lie
+    within rounding of the k-th so far, ties too), exact ones rank them. A partition sends its best k per query, with bounds only those within
+    its bound. A worker holds k rows per query and about PANEL distances."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))]
-        for batch in batches:
-            ids, block = batch["vec_id"].to_numpy(np.int64), np.stack(batch["code"])
-            for a in range(0, len(qids), 512):
-                part = queries[a : a + 512]
-                d = rough(part, block)
+        held = np.zeros((len(qids), k), np.int64), np.full((len(qids), k), np.inf)
+        for ids, block in _growing(batches, max(FIRST_ROWS, 2 * k)):
+            step = max(1, min(SLICE_QUERIES, PANEL // len(ids)))
+            for a in range(0, len(qids), step):
+                handles, rough, exact, slack = bind(queries[a : a + step])
+                mine = held[0][a : a + step], held[1][a : a + step]
+                d = rough(handles, block)
                 if no_self:
-                    d[qids[a : a + 512, None] == ids[None]] = np.inf
-                near, fine = _candidates(part, block, ids, d, min(k, len(ids)), exact)
-                mine = [h[a : a + 512] for h in held]
-                _nearest(mine, ids[near], fine, k)
-                if a == 0:
-                    grown = [np.zeros((len(qids), mine[0].shape[1]), h.dtype) for h in held]
-                for g, m_ in zip(grown, mine, strict=True):
-                    g[a : a + 512] = m_
-            held = grown
-        n = held[0].shape[1]
-        out = pd.DataFrame({"qid": np.repeat(qids, n), "vec_id": held[0].ravel(), "distance": held[1].ravel()})
-        yield out[np.isfinite(out["distance"])]
+                    d[qids[a : a + step, None] == ids[None]] = np.inf
+                worst = mine[1][:, -1] if bounds is None else np.minimum(mine[1][:, -1], bounds[a : a + step])
+                if np.isinf(worst).any():
+                    near, fine = _candidates(handles, block, ids, d, min(k, len(ids)), exact, slack)
+                    mine[0][:], mine[1][:] = _sorted(np.concatenate([mine[0], ids[near]], 1), np.concatenate([mine[1], fine], 1), k)
+                else:
+                    most = np.nextafter((worst + slack * (1 + np.abs(worst))).astype(d.dtype), d.dtype.type(np.inf))
+                    _below(handles, block, ids, d <= most[:, None], mine, k, exact)
+        for a in range(0, len(qids), SLICE_QUERIES):
+            some = held[0][a : a + SLICE_QUERIES], held[1][a : a + SLICE_QUERIES]
+            keep = np.isfinite(some[1]) if bounds is None else np.isfinite(some[1]) & (some[1] <= bounds[a : a + SLICE_QUERIES, None])
+            yield pd.DataFrame({"qid": np.broadcast_to(qids[a : a + SLICE_QUERIES, None], keep.shape)[keep], "vec_id": some[0][keep], "distance": some[1][keep]})
 
     return codes.mapInPandas(scan, "qid long, vec_id long, distance double")
 
 
+def _metric(metric: str) -> Callable[[np.ndarray], Bound]:
+    """What scan_topk binds for plain vectors. A block is prepared once for all queries. Products of unit vectors are rough enough in single
+    precision: 64 to 4,096 of their terms are off by less than 1e-5."""
+    ready: list = [None, None]
+    form = (lambda v: _unit(v.astype(np.float64)).astype(np.float32)) if metric == "cosine" else lambda v: v.astype(np.float64)
+
+    def rough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if ready[0] is not b:
+            ready[:] = b, form(b)
+        if metric != "cosine":
+            return D.block_distance(metric, form(a), ready[1])
+        d = form(a) @ ready[1].T
+        return np.subtract(1, d, out=d)
+
+    return lambda part: (part, rough, lambda a, b: D.exact_distance(metric, a, b), 1e-5 if metric == "cosine" else 1e-9)
+
+
+def _lossless(qs: np.ndarray) -> np.ndarray:
+    """In single precision where that changes nothing, which is what a task carries then."""
+    half = qs.astype(np.float32)
+    return half if (half == qs).all() else qs
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero stays zero, whose distance is 1."""
+    sq = (v * v).sum(1)
+    return v / np.sqrt(np.where(sq > 0, sq, 1))[:, None]
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", no_self: bool = False) -> DataFrame:
     """vectors(vec_id, embedding), queries(qid, qvec) -> qid, vec_id, distance, rank. Exact; ties go to the smaller id.
 
@@ -120,11 +190,27 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2",
 
     def scan(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
         codes = checked(vectors, qs.shape[1]).select("vec_id", F.col("embedding").alias("code"))
-        return scan_topk(codes, qids, qs, k, lambda a, b: D.block_distance(metric, a, b.astype(np.float64)), lambda a, b: D.exact_distance(metric, a, b), no_self)
+        return scan_topk(codes, qids, _lossless(qs), k, _metric(metric), no_self)
 
     return top(over_blocks(queries, scan), k)
 
 
+def completed(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """found(qid, vec_id, distance) by an approximate search, with exact distances -> the k nearest of all. What the search has found
+    bounds each query's distances; one pass over the vectors adds whatever lies within that bound and was missed."""
+    metric = D.metric_name(metric)
+    far = found.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("bound"))
+    known = far.toPandas()  # a number a query
+    known = dict(zip(known["qid"].tolist(), known["bound"].tolist(), strict=True))
+
+    def scan(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
+        codes = checked(vectors, qs.shape[1]).select("vec_id", F.col("embedding").alias("code"))
+        return scan_topk(codes, qids, _lossless(qs), k, _metric(metric), bounds=np.array([known.get(q, np.inf) for q in qids.tolist()]))
+
+    every = over_blocks(queries, scan).unionByName(found.select("qid", "vec_id", "distance"))
+    return top(every.dropDuplicates(["qid", "vec_id"]), k)
+
+
 def over_blocks(queries: DataFrame, scan: Callable[[np.ndarray, np.ndarray], DataFrame], schema: str = "qid long, vec_id long, distance double") -> DataFrame:
     """The union of scan(qids, vectors) over the blocks of queries."""
     found = None
@@ -147,7 +233,7 @@ def int8_knn(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """codes(vec_id, code tinyint array), queries(qid, qvec tinyint array): by the negated inner product of codes."""
     rough = lambda a, b: -(a.astype(np.float64) @ b.astype(np.float64).T)  # noqa: E731  whole numbers below 2^53
     exact = lambda a, b: -(a.astype(np.int64) * b.astype(np.int64)).sum(1).astype(np.float64)
-    return top(over_blocks(queries, lambda qids, qs: scan_topk(codes, qids, qs, k, rough, exact)), k)
+    return top(over_blocks(queries, lambda qids, qs: scan_topk(codes, qids, qs, k, lambda part: (part, rough, exact, 1e-9))), k)
 
 
 def refine(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, score: Callable[[Column, Column], Column], column: str = "embedding") -> DataFrame:

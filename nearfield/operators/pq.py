@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance as D
-from nearfield.operators.knn import checked, over_blocks, scan_topk, top
+from nearfield.operators.knn import Bound, checked, over_blocks, scan_topk, top
 
 CENTROIDS = 256
 TRAIN_ROWS = 65_536
@@ -125,16 +125,19 @@ def adc_knn(codes: DataFrame, queries: DataFrame, book: np.ndarray, k: int, metr
     def score(total: np.ndarray) -> np.ndarray:
         return total if metric == "l2" else -total if metric == "ip" else 1 - total
 
-    def rough(lut: np.ndarray, code: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(lut), len(code)))
-        for i in range(m):
-            total += lut[:, i * size + code[:, i].astype(np.int64)]
-        return score(total)
+    def bind(part: np.ndarray) -> Bound:
+        """A query's handle is its place in the lookup tables, which only these queries have in memory."""
+        lut = tables(part, book, metric).reshape(len(part), -1)
 
-    def exact(lut: np.ndarray, code: np.ndarray) -> np.ndarray:
-        return score(D.exact_sum(lut[np.arange(len(lut))[:, None], np.arange(m) * size + code.astype(np.int64)]))
+        def rough(handles: np.ndarray, code: np.ndarray) -> np.ndarray:
+            total = np.zeros((len(lut), len(code)))
+            for i in range(m):
+                total += lut[:, i * size + code[:, i].astype(np.int64)]
+            return score(total)
 
-    def scan(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
-        return scan_topk(codes, qids, tables(qs, book, metric).reshape(len(qs), -1), k, rough, exact)
+        def exact(handles: np.ndarray, code: np.ndarray) -> np.ndarray:
+            return score(D.exact_sum(lut[handles, np.arange(m) * size + code.astype(np.int64)]))
 
-    return top(over_blocks(queries, scan), k)
+        return np.arange(len(part))[:, None], rough, exact, 1e-9
+
+    return top(over_blocks(queries, lambda qids, qs: scan_topk(codes, qids, qs, k, bind)), k)

@@ -321,3 +321,56 @@ def test_invariants_hold_over_shards(spark, tmp_path, monkeypatch):
     table(spark, data(300, 16)).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     monkeypatch.setattr(exact, "_nsw", lambda v: exact.cut(graph.nsw_build(v, shard_rows=100)))
     assert [tuple(r) for r in exact.nsw_invariants(spark, str(tmp_path)).collect()] == [(0, 300, True, True, True, 300)]
+
+
+class Codes:
+    """Stands in for a DataFrame: what its scan makes of one batch."""
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def mapInPandas(self, scan, schema):
+        import pandas as pd
+
+        return pd.concat(list(scan(iter([self.rows]))))
+
+
+def test_scans_hold_no_lookup_table_for_each_pair(monkeypatch):
+    """400 candidates by product codes for 300 queries: a copy of a query's table for each pair were 2 GB."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    book, code, q = rng.standard_normal((8, 256, 8)), rng.integers(0, 256, (4000, 8)).astype(np.int16), rng.standard_normal((300, 64))
+    monkeypatch.setattr(pq, "over_blocks", lambda queries, scan: scan(np.arange(300), queries))
+    monkeypatch.setattr(pq, "top", lambda found, k: found)
+    tracemalloc.start()
+    got = pq.adc_knn(Codes(pd.DataFrame({"vec_id": np.arange(4000), "code": list(code)})), q, book, 400)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300e6
+    lut = pq.tables(q, book)
+    for qid in (0, 299):
+        total = D.exact_sum(lut[qid][np.arange(8), code.astype(int)])
+        want = np.lexsort((np.arange(4000), total))[:400]
+        mine = got[got["qid"] == qid].sort_values(["distance", "vec_id"])
+        assert mine["vec_id"].tolist() == want.tolist() and mine["distance"].tolist() == total[want].tolist()
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_growing_blocks_give_what_a_scan_gives(monkeypatch, metric):
+    """Small and then larger blocks, near ties, equal rows, bounds: ids and distances are those of brute force."""
+    import pandas as pd
+
+    v = np.concatenate([data(300, 16), np.repeat(data(3, 16, 7), 40, 0), np.nextafter(data(40, 16), np.float32(2)), np.zeros((3, 16), np.float32)])
+    monkeypatch.setattr(knn, "FIRST_ROWS", 8)
+    monkeypatch.setattr(knn, "PANEL", 300)
+    monkeypatch.setattr(knn, "SLICE", 200)
+    rows = Codes(pd.DataFrame({"vec_id": np.arange(len(v)), "code": list(v)}))
+    got = knn.scan_topk(rows, np.arange(len(v)), v, 12, knn._metric(metric))
+    want = [(q, *x) for q in range(len(v)) for x in brute(v, v[q], 12, metric)]
+    assert list(got.sort_values(["qid", "distance", "vec_id"]).itertuples(index=False, name=None)) == want
+    bounds = np.array([brute(v, x, 5, metric)[-1][1] for x in v])
+    near = knn.scan_topk(rows, np.arange(len(v)), v, 12, knn._metric(metric), bounds=bounds)
+    assert list(near.sort_values(["qid", "distance", "vec_id"]).itertuples(index=False, name=None)) == [x for x in want if x[2] <= bounds[x[0]]]
