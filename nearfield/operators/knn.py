@@ -86,6 +86,21 @@ def _sorted(ids: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.take_along_axis(ids, order, 1), np.take_along_axis(distances, order, 1)
 
 
+def keep_best(held: tuple[np.ndarray, np.ndarray], first: int, ids: np.ndarray, d: np.ndarray, k: int) -> None:
+    """Merges final distances d of ids to the queries from `first` on into held: those of a query that lie beyond its k-th so far
+    are passed over, and of the others the k best, ties by id, stay."""
+    mine = held[0][first : first + len(d)], held[1][first : first + len(d)]
+    worst = mine[1][:, -1].copy()
+    if d.shape[1] > k:
+        worst = np.minimum(worst, np.partition(d, k - 1, axis=1)[:, k - 1]) if np.isinf(worst).any() else worst
+    close = d <= worst[:, None]
+    for q in np.flatnonzero(close.any(1)).tolist():
+        at = np.flatnonzero(close[q])
+        both_ids, both = np.concatenate([mine[0][q], ids[at]]), np.concatenate([mine[1][q], d[q, at]])
+        order = np.lexsort((both_ids, both))[:k]
+        mine[0][q], mine[1][q] = both_ids[order], both[order]
+
+
 def _below(handles: np.ndarray, block: np.ndarray, ids: np.ndarray, close: np.ndarray, held: tuple[np.ndarray, np.ndarray], k: int, exact: Kernel) -> None:
     """Scores the close pairs exactly, a bounded number at a time, and merges them into held."""
     at, cols = np.divmod(np.flatnonzero(close), close.shape[1])

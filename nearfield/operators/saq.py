@@ -9,8 +9,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from nearfield.operators.knn import SLICE_QUERIES, checked, over_blocks, top
+from nearfield.operators.knn import PANEL, SLICE_QUERIES, checked, keep_best, over_blocks, top
 
 
 @dataclass(frozen=True)
@@ -130,29 +131,48 @@ def estimate_block(queries: np.ndarray, codes: list[np.ndarray], rescale: np.nda
 
 def saq_knn(coded: DataFrame, queries: DataFrame, segments: Segments, k: int, packed: bool = False) -> DataFrame:
     """The k nearest by estimated squared distance: coded as encode() gives it, queries(qid, qvec). A partition
-    sends its best k per query."""
+    sends its best k per query; a worker holds those and about PANEL estimates."""
 
     def near(qids: np.ndarray, qs: np.ndarray) -> DataFrame:
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = [np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))]
+            held = np.zeros((len(qids), k), np.int64), np.full((len(qids), k), np.inf)
             for batch in batches:
                 codes, rescale, length = decode_block(batch["codes"], segments, packed), np.stack(batch["rescale"]), np.stack(batch["length"])
-                ids, merged = batch["vec_id"].to_numpy(np.int64), ([], [])
-                for a in range(0, len(qids), SLICE_QUERIES):
-                    d = estimate_block(qs[a : a + SLICE_QUERIES], codes, rescale, length, segments)
-                    both = [np.concatenate([held[0][a : a + SLICE_QUERIES], np.broadcast_to(ids, d.shape)], 1), np.concatenate([held[1][a : a + SLICE_QUERIES], d], 1)]
-                    order = np.lexsort(both, axis=1)[:, :k]
-                    for out, x in zip(merged, both, strict=True):
-                        out.append(np.take_along_axis(x, order, 1))
-                held = [np.concatenate(x) for x in merged]
-            n = held[0].shape[1]
-            yield pd.DataFrame({"qid": np.repeat(qids, n), "vec_id": held[0].ravel(), "distance": held[1].ravel()})
+                ids = batch["vec_id"].to_numpy(np.int64)
+                step = max(1, min(SLICE_QUERIES, PANEL // len(ids)))
+                for a in range(0, len(qids), step):
+                    keep_best(held, a, ids, estimate_block(qs[a : a + step], codes, rescale, length, segments), k)
+            for a in range(0, len(qids), SLICE_QUERIES):
+                ids, d = held[0][a : a + SLICE_QUERIES], held[1][a : a + SLICE_QUERIES]
+                keep = np.isfinite(d)
+                yield pd.DataFrame({"qid": np.broadcast_to(qids[a : a + SLICE_QUERIES, None], keep.shape)[keep], "vec_id": ids[keep], "distance": d[keep]})
 
         return coded.mapInPandas(scan, "qid long, vec_id long, distance double")
 
     return top(over_blocks(queries, near), k)
 
 
+def saq_pairs(pairs: DataFrame, coded: DataFrame, queries: DataFrame, segments: Segments, packed: bool = False) -> DataFrame:
+    """pairs(qid, vec_id, ...) with `estimate`, the estimated squared distance of each: what saq_knn ranks, for given pairs alone. A pair without
+    its code or query is an error."""
+
+    names = pairs.columns
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = np.empty(len(batch))
+            for at in batch.groupby("qid").indices.values():
+                some = batch.iloc[at]
+                out[at] = estimate_block(np.stack(some["qvec"][:1]).astype(np.float64), decode_block(some["codes"], segments, packed), np.stack(some["rescale"]), np.stack(some["length"]), segments)[0]
+            yield batch[names].assign(estimate=out)
+
+    found = pairs.join(coded, "vec_id", "left").join(queries, "qid", "left")
+    broken = F.raise_error(F.concat(F.lit("a pair has no code or query: "), F.col("vec_id").cast("string")))
+    found = found.withColumn("codes", F.when(F.col("codes").isNotNull() & F.col("qvec").isNotNull(), F.col("codes")).otherwise(broken))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    return found.select(*names, "qvec", "codes", "rescale", "length").mapInPandas(score, f"{kinds}, estimate double")
+
+
 def memory_bytes(n: int, segments: Segments, packed: bool = False) -> int:
     """Codes, and three four-byte factors for each segment."""
     return n * sum((-(-padded // 2) if packed else padded) + 12 for *_, padded, _ in segments.parts)
