@@ -240,16 +240,19 @@ def layout_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id AS qid, true AS adds_up, true AS within_budget, true AS stops_early FROM embeddings WHERE vec_id % 100 = 0")
 def search_budgets_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of three searches by query: useful and wasted expansions make up all, a budget of 40 is kept, and stalling ends no later than the whole search."""
+    """Counters of three searches by query: useful and wasted expansions make up all, a budget of 40 is kept, and stalling ends no later than the whole
+    search. A budget is that of one beam search, so each shard's search of a query is held to it."""
     v = vectors(spark, sf_dir)
     g = _nsw(v)
 
     def counted(name: str, search: graph.Search) -> DataFrame:
         found = graph.search_graph(g, queries_of(v), K, search, output="metrics")
-        return found.groupBy("qid").agg(F.sum("expansions").alias(name), (F.sum("useful") + F.sum("wasted")).alias(f"{name}_parts"))
+        return found.select("qid", "shard", F.col("expansions").alias(name), (F.col("useful") + F.col("wasted")).alias(f"{name}_parts"))
 
-    both = counted("whole", graph.Search(ef=64)).join(counted("budget", graph.Search(ef=64, max_expansions=40)), "qid").join(counted("stall", graph.Search(ef=64, stall=4, drain=16)), "qid")
-    return both.select("qid", (F.col("whole") == F.col("whole_parts")).alias("adds_up"), (F.col("budget") <= 40).alias("within_budget"), (F.col("stall") <= F.col("whole")).alias("stops_early"))
+    keys = ["qid", "shard"]
+    both = counted("whole", graph.Search(ef=64)).join(counted("budget", graph.Search(ef=64, max_expansions=40)), keys, "full").join(counted("stall", graph.Search(ef=64, stall=4, drain=16)), keys, "full")
+    holds = {"adds_up": F.col("whole") == F.col("whole_parts"), "within_budget": F.col("budget") <= 40, "stops_early": F.col("stall") <= F.col("whole")}
+    return both.groupBy("qid").agg(*[F.bool_and(F.coalesce(c, F.lit(False))).alias(name) for name, c in holds.items()])
 
 
 @query("SELECT vec_id AS qid, true AS same_results, true AS every_page_once, true AS fewer_with_preference FROM embeddings WHERE vec_id % 100 = 0")
@@ -267,6 +270,7 @@ def search_pages_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = plain.join(other, names, "left_semi").groupBy("qid").agg((F.count("*") == K).alias("same_results"))
     reads = layout.page_reads(graph.search_graph(g, queries_of(v), K, graph.Search(ef=64), output="trace"), pages)
     seen = graph.search_graph(paged, queries_of(v), K, graph.Search(ef=64), cache_slots=1 << 12, output="page_metrics")
+    seen = seen.groupBy("qid").agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "expansions")])  # a query's shards count together
     seen = seen.join(reads.select("qid", "pages"), "qid").select("qid", ((F.col("misses") == F.col("pages")) & (F.col("hits") + F.col("misses") == F.col("expansions"))).alias("every_page_once"))
     sums = [graph.search_graph(paged, queries_of(v), K, graph.Search(ef=64, prefer=p), cache_slots=1 << 12, output="page_metrics").agg(F.sum("misses")) for p in (0, 4)]
     fewer = sums[0].toDF("a").crossJoin(sums[1].toDF("b")).select((F.col("b") <= F.col("a")).alias("fewer_with_preference"))  # one row each
@@ -348,9 +352,7 @@ def pq_trained_codes_are_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def saq_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of segmented codes: the mean relative error of a query's estimated squared distances to its exact neighbours is below a tenth."""
     v = vectors(spark, sf_dir)
-    n = v.count()
     segments = _segments(v)
     near = knn.knn(v, queries_of(v), 50, "l2").where("qid <> vec_id")
-    found = saq.saq_knn(saq.encode(v, segments), queries_of(v), segments, n).select("qid", "vec_id", F.col("distance").alias("estimate"))
-    both = near.join(found, ["qid", "vec_id"])
+    both = saq.saq_pairs(near.select("qid", "vec_id", "distance"), saq.encode(v, segments), queries_of(v), segments)
     return both.groupBy("qid").agg((F.avg(F.abs(F.col("estimate") - F.col("distance")) / F.col("distance")) < 0.1).alias("within"))
